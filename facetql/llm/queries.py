@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, media, mixing, packing, scratch, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer file; the package that holds them is the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = scratch.new_path(spark, "token-shards")
+    manifest = token_shards.write_shards(_table(spark, sf_dir, "documents"), directory, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_shards.read_shards(spark, manifest)
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.store_text(_table(spark, sf_dir, "documents")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -24,6 +45,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_shards": op3_token_shards,
+        "op5_media_columns": op5_media_columns,
+        "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_mixing": op9_mixing,
     }
