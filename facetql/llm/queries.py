@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, scratch, token_shards
+from . import exact_dedup, html_extract, media, mixing, packing, quality, scratch, token_shards, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch.new_path(spark, "token-shards")
     manifest = token_shards.write_shards(_table(spark, sf_dir, "documents"), directory, _tokenizer("byte_bpe_50k.json"), end_id=2)
@@ -39,17 +45,31 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = scratch.new_path(spark, "warc-derived")
+    files = warc.write_derivatives(warc.response_column(_table(spark, sf_dir, "pages")), directory)
+    records = warc.read_records(spark, directory, files)
+    return records.withColumn("block_sha256", F.sha2("block", 256)).withColumnRenamed("key", "page_id").drop("block")
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op3_token_shards": op3_token_shards,
         "op5_media_columns": op5_media_columns,
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_warc_derivatives": op8_warc_derivatives,
         "op9_mixing": op9_mixing,
+        "op10_html_extract": op10_html_extract,
     }
 
 
