@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+WHITE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 MAX_SOURCES = 100_000
 
@@ -89,3 +90,24 @@ def mix(
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("offset") - F.col("start"))))
         .select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
     )
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with each row once for each time the mix takes it; the last of a row's times may be its first words only.
+
+    Ids are taken to be unique; a row whose id is null is matched by its text and source.  Documents of no words are
+    taken whole as often as their source is.
+    """
+    plan = mix(docs, id_col, text_col, source_col, **options).withColumn(
+        "__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
+    )
+    plan = plan.select(F.col("doc_id").alias("__id"), "size", "taken", "__epochs").dropDuplicates(["__id"])
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")).cast("int")).otherwise(F.col("__epochs"))
+    rest = F.when(F.col("size") > 0, F.col("taken") - whole * F.col("size")).otherwise(F.lit(0))
+    parts = F.filter(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.array(rest.cast("long"))), lambda x: x != 0)
+    # The first n words, with the white space between them as it stands.
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + WHITE + "*"), F.lit(0))
+    head = F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), "")
+    repeated = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).withColumn("__part", F.explode(parts))
+    text = F.when(F.col("__part") < 0, F.col(text_col)).otherwise(head)
+    return repeated.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

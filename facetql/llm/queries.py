@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Path of a public tokenizer file; the package that holds them is the same on every executor."""
     import public_tokenizers
 
@@ -35,7 +35,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = scratch.new_path(spark, "token-shards")
-    manifest = token_shards.write_shards(_table(spark, sf_dir, "documents"), directory, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    manifest = token_shards.write_shards(_table(spark, sf_dir, "documents"), directory, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_shards.read_shards(spark, manifest)
 
 
@@ -44,7 +44,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 _made: list[str] = []
+_apart: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -46,6 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_apart(df: DataFrame, name: str) -> DataFrame:
+    """Like ``materialize``, for results that outlive ``release``: at the program's end they go too."""
+    path = new_path(df.sparkSession, name)
+    _made.remove(path)
+    _apart.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _delete(path: str) -> None:
     with contextlib.suppress(OSError, ValueError):
         fs, p = filesystem(path)
@@ -59,4 +69,9 @@ def release() -> None:
         _delete(_made.pop())
 
 
-atexit.register(release)
+def _release_all() -> None:
+    _made.extend(_apart)
+    release()
+
+
+atexit.register(_release_all)
