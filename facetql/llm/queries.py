@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, media, mixing, ngram_join, packing, quality, scratch, token_shards, warc
+from . import exact_dedup, html_extract, line_dedup, media, mixing, ngram_join, packing, quality, scratch, token_shards, warc
 from .ship import ship
 
 
@@ -39,6 +39,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(spark, manifest)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.LineDedup(_table(spark, sf_dir, "documents"), k=2).counts()
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_text(_table(spark, sf_dir, "documents")))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_quality": op2_quality,
         "op3_token_shards": op3_token_shards,
+        "op4_line_dedup": op4_line_dedup,
         "op5_media_columns": op5_media_columns,
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
