@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 import regex
@@ -19,9 +21,20 @@ from tokenizers import Tokenizer
 
 # Fixed value: the published splitting pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LAST_LATIN = "ɏ"
+# Text on which all Unicode versions and both lower-casings agree: ASCII and Latin letters, no combining marks.
+PLAIN = re.compile("[\n\t!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f]*")
 ODD = regex.compile("[\x1c-\x1f\x85\xa0]")
-PIECES, WORDS = 300_000, 600_000
+PIECES, WORDS = 800_000, 600_000
+
+
+def _byte_signs() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = _byte_signs()
 
 
 class _Whole(Exception):
@@ -59,12 +72,17 @@ class Encoder:
             split = pre["pretokenizers"][0]
             if split["behavior"] == "Removed" and split["invert"] and not pre["pretokenizers"][1]["use_regex"]:
                 self.lead, self.pattern = "", regex.compile(split["pattern"]["Regex"])
-        self.word = _Cache(self._library, words)
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
+        self.word = _Cache(self._word, words)
         self.first = _Cache(lambda piece: self._piece(piece, ""), pieces)
         self.rest = _Cache(self._rest, pieces)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word (what the splitting pattern gives), from the library's model itself."""
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
 
     def _rest(self, piece: str) -> bytes:
         if self.lead and (not piece or piece[0].isspace()):
@@ -72,14 +90,18 @@ class Encoder:
         return self._piece(piece, self.lead)
 
     def _piece(self, piece: str, lead: str) -> bytes:
-        if ODD.search(piece):
-            raise _Whole
         if not piece:
             return b""
-        if max(piece) > LAST_LATIN:
+        if not PLAIN.fullmatch(piece):
+            if ODD.search(piece):
+                raise _Whole
             return self._library(lead + piece)
-        if not self.lead and self.tokenizer.normalizer:
-            piece = self.tokenizer.normalizer.normalize_str(piece)
+        if not self.lead:
+            piece = piece.lower()
+        if piece.isalpha():
+            return self.word[lead + piece]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return self.word[lead + piece[:-1]] + self.word[piece[-1]]
         word = self.word
         return b"".join([word[w] for w in self.pattern.findall(lead + piece)])
 
