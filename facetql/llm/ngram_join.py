@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -112,6 +112,11 @@ def part_keys(ngrams: np.ndarray, classes: SizeClasses, known: dict[int, tuple[i
     return out
 
 
+def numbers(column: str) -> Column:
+    """One row for each of 0, 1, .. below the column's value."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(column).cast("long") - 1))
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
@@ -326,7 +331,7 @@ class NgramJoin:
         own = scratch.materialize(blocks.join(large, "block"), "ngram-pieces")
         pivots = own.withColumn("r", rank).filter(F.col("r") <= PIVOTS)
         spread = own.select("block", "doc_id", F.pmod(F.xxhash64("doc_id"), "pieces").alias("piece")).unionByName(
-            pivots.select("block", "doc_id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).cast("long").alias("piece"))
+            pivots.select("block", "doc_id", numbers("pieces").alias("piece"))
         )
         pieces = spread.distinct().select(F.xxhash64("block", "piece").alias("task"), "doc_id", F.col("doc_id").alias("known"))
         first = scratch.materialize(self._product(small.unionByName(pieces)), "ngram-links")
@@ -348,7 +353,6 @@ class NgramJoin:
             return None
         shares = outside.groupBy("block").agg(F.ceil(F.sum("weight") / self.block_ngrams).cast("int").alias("shares"))
         task = F.xxhash64("block", "share", "piece")
-        numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).cast("long")
         left = outside.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), "shares")).withColumn("piece", numbers("pieces"))
         right = known.join(shares, "block").withColumn("piece", F.pmod(F.xxhash64("doc_id"), "pieces")).withColumn("share", numbers("shares"))
         columns = (task.alias("task"), "doc_id", "known")
