@@ -33,6 +33,7 @@ from .html_tree import plain_text
 
 VERSION = b"WARC/1.1"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of name-based UUIDs
+FEED = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 LINK = re.compile(r"""<(?:a|link|area)\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
@@ -85,13 +86,16 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
 def records_of(data: bytes) -> Iterator[Record]:
     """All records of a plain file, or of one whose records are gzip members."""
     if data[:2] == b"\x1f\x8b":
-        while data:
-            member = zlib.decompressobj(31)
-            plain = member.decompress(data) + member.flush()
-            if not member.eof:
-                raise ValueError("truncated gzip member")
-            data = member.unused_data
-            at = 0
+        view, pos = memoryview(data), 0
+        while pos < len(view):
+            member, parts = zlib.decompressobj(31), []
+            while not member.eof:
+                if pos >= len(view):
+                    raise ValueError("truncated gzip member")
+                fed = view[pos : pos + FEED]  # a little at a time: what follows the member is copied
+                parts.append(member.decompress(fed))
+                pos += len(fed) - len(member.unused_data)
+            plain, at = b"".join(parts), 0
             while at < len(plain):
                 record, at = parse_record(plain, at)
                 yield record
