@@ -104,3 +104,16 @@ def test_threads(engine):
 def test_header_is_json(engine):
     line = next(x for x in engine.stream(Q, "events") if x.startswith("event: header"))
     assert json.loads(line.split("data: ")[1])["rows"] == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from facetql.__main__ import main
+
+    path, metrics = str(tmp_path / "c.parquet"), tmp_path / "dimensions.desc"
+    spark.createDataFrame([(0, "a", 2), (9, "b", 3)], "at long, k string, n long").coalesce(1).write.parquet(path)
+    metrics.write_text("twice,doubled,null,add,n,n\nodd,none,null,whatever,x,y\n")
+    base = ["-d", f"c={path}:at", "--dimensions", f"c={metrics}"]
+    assert main([*base, "from c 1970-01-01 1970-01-02 group by k select twice"]) == 0
+    assert main([*base, "show tables"]) == 0 and main([*base, "from c 1970-01-01 1970-01-02 select zzz"]) == 1
+    out = capsys.readouterr()
+    assert out.out == "a\t4\nb\t6\nc\t\n" and "Unknown field: zzz" in out.err and "odd: unknown type" in out.err
