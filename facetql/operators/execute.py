@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import LimitError
+from ..errors import LimitError, QueryError
 from ..functions.metrics import Distinct, Metrics, Percentile, Ratio, Sum, quotient
 from ..functions.predicates import Predicates
 from ..plans.logical import ByBuckets, ByField, ByGrid, ByTerms, ByTop, Logical
@@ -51,7 +51,7 @@ class Compiler:
         self.metrics, self.predicates = Metrics(dataset), Predicates(dataset)
         self.wanted = [self.metrics.aggregate(m) for m in query.metrics]
         self.beyond = any(isinstance(m, (Distinct, Percentile)) for m in self.wanted)
-        self.top_rank: str | None = None
+        self.ready: DataFrame | None = None
 
     # Rows.
 
@@ -129,16 +129,18 @@ class Compiler:
 
     # Groupings.
 
-    def _exploded(self, docs: DataFrame, name: str, out: str) -> DataFrame:
-        """``docs`` with a term of the field in column ``out``; rows without a term are left out."""
+    def _exploded(self, docs: DataFrame, name: str, out: str, outer: bool = False) -> DataFrame:
+        """``docs`` with a term of the field in column ``out``; rows without a term are left out, or have a null (``outer``)."""
         f = self.dataset.find(name)
         terms = self.dataset.terms(f)
         if self.dataset.has_many(f):
             if f.kind == INT:
                 terms = terms.cast("array<bigint>")
-            return docs.withColumn(out, F.explode(F.array_distinct(terms))).filter(F.col(out).isNotNull())
+            terms = F.array_distinct(F.array_compact(terms))
+            return docs.withColumn(out, (F.explode_outer if outer else F.explode)(terms))
         column = terms.cast("long") if f.kind in (INT, TIME) else terms.cast("string")
-        return docs.withColumn(out, column).filter(F.col(out).isNotNull())
+        docs = docs.withColumn(out, column)
+        return docs if outer else docs.filter(F.col(out).isNotNull())
 
     def _present(self, docs: DataFrame, keys: Keys) -> DataFrame | None:
         """The parent tuples: those required, or those that have rows."""
@@ -196,46 +198,59 @@ class Compiler:
         places = F.array_position(F.array(*[F.lit(t).cast(kind) for t in g.terms]), F.col(key)) - 1
         return rows.withColumn(at, places.cast("int")), Keys([*keys.columns, key, at], [*keys.order, at], parents)
 
-    def _top(self, docs: DataFrame, keys: Keys, i: int, g: ByTop, last: bool) -> tuple[DataFrame, Keys]:
-        key, rank = f"g{i}", f"__r{i}"
-        rows = self._exploded(docs, g.field, key)
+    def _score(self, g: ByTop, last: bool) -> Column:
         by = self.metrics.aggregate(g.metric)
-        if isinstance(by, Ratio) and not last:
-            raise LimitError("a ratio can order the last grouping only", "group by")
-        if isinstance(by, Ratio):
-            score = F.sum(by.top).cast("double") / F.lit(float(by.constant)) if by.constant is not None else quotient(F.sum(by.top), F.sum(by.bottom))
-        else:
-            score = F.sum(by.column).cast("double")
-        sums = rows.groupBy(*keys.columns, key).agg(score.alias("__score"))
+        if isinstance(by, Sum):
+            return F.sum(by.column).cast("double")
+        if not isinstance(by, Ratio):
+            raise QueryError("terms can't be ordered by this", "group by")
+        if not last:
+            raise QueryError("a ratio can order the last grouping only", "group by")
+        return F.sum(by.top).cast("double") / F.lit(float(by.constant)) if by.constant is not None else quotient(F.sum(by.top), F.sum(by.bottom))
+
+    def _ranked(self, sums: DataFrame, keys: Keys, key: str, rank: str, g: ByTop) -> DataFrame:
+        """The best k terms of each parent by ``__score``, and a parent's null term if it has no other."""
         worst = float("inf") if g.bottom else float("-inf")
-        ranked = F.when(F.isnan("__score"), F.lit(worst)).otherwise(F.col("__score"))
-        order = ranked.asc() if g.bottom else ranked.desc()
-        window = Window.partitionBy(*keys.columns).orderBy(order, key) if keys.columns else Window.partitionBy(F.lit(0)).orderBy(order, key)
-        if not keys.columns:
-            best = sums.orderBy(order, key).limit(g.k)  # one group: a top-k needs no sort of all terms
-            best = best.withColumn(rank, F.row_number().over(window))
-        else:
+        score = F.when(F.isnan("__score"), F.lit(worst)).otherwise(F.col("__score"))
+        order = [F.col(key).isNull(), score.asc() if g.bottom else score.desc(), F.col(key)]
+        if keys.columns:
+            window = Window.partitionBy(*keys.columns).orderBy(*order)
             best = sums.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= g.k)
-        best = best.drop("__score")
-        joined = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys.columns, key]]
-        on = joined[0]
-        for j in joined[1:]:
-            on = on & j
-        rows = rows.alias("d").join(best.alias("b"), on).select("d.*", f"b.{rank}")
+        else:  # one group: the best k need no sort of all terms
+            best = sums.orderBy(*order).limit(g.k)
+            best = best.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+        return best.filter(F.col(key).isNotNull() | (F.col(rank) == 1)).drop("__score")
+
+    def _top(self, docs: DataFrame, keys: Keys, i: int, g: ByTop, last: bool) -> tuple[DataFrame, Keys]:
+        key, rank = f"g{i}", f"__r{i}"
         out = Keys([*keys.columns, key, rank], [*keys.order, rank])
         if last:
-            present = self._present(docs, keys)
-            if present is None:
-                present = self.spark.range(1).select(F.lit(0).alias("__root"))
-                empty = present.crossJoin(best.agg(F.count(F.lit(1)).alias("n"))).filter("n = 0").select(F.lit(1).alias(rank))
-            else:
-                same = present.join(best.select(*keys.columns).distinct(), keys.columns, "left_anti") if keys.columns else present
-                empty = same.withColumn(rank, F.lit(1))
-            self.top_rank = rank
-            kind = rows.schema[key].dataType
-            none = F.lit("") if kind.typeName() == "string" else F.lit(None).cast(kind)
-            out.parents = best.select(*keys.columns, key, rank).unionByName(empty.withColumn(key, none).select(*keys.columns, key, rank))
-        return rows, out
+            self.ready = self._last_top(docs, keys, key, rank, g)
+            return docs, out
+        rows = self._exploded(docs, g.field, key)
+        sums = rows.groupBy(*keys.columns, key).agg(self._score(g, last).alias("__score"))
+        best = self._ranked(sums, keys, key, rank, g)
+        on = None
+        for c in [*keys.columns, key]:
+            same = F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}"))
+            on = same if on is None else on & same
+        return rows.alias("d").join(best.alias("b"), on).select("d.*", f"b.{rank}"), out
+
+    def _last_top(self, docs: DataFrame, keys: Keys, key: str, rank: str, g: ByTop) -> DataFrame:
+        """Metrics and rank come from one aggregation; a parent without terms has a row with an empty key."""
+        rows = self._exploded(docs, g.field, key, outer=True)
+        sums = rows.groupBy(*keys.columns, key).agg(self._score(g, True).alias("__score"), *self._aggregates())
+        best = self._ranked(sums, keys, key, rank, g)
+        if keys.parents is not None:
+            best = self._beside(keys.parents.select(*keys.columns), best, keys)
+        elif not keys.columns:
+            root = self.spark.range(1).select(F.lit(0).alias("__root"))
+            best = root.join(best, F.lit(True), "left").drop("__root")  # at most k rows
+        kind = best.schema[key].dataType
+        none = F.lit("") if kind.typeName() == "string" else F.lit(None).cast(kind)
+        found = F.col(key).isNotNull()
+        values = [F.when(found, self._value(n, m, best.columns)).otherwise(F.lit(0.0)).alias(f"m{n}") for n, m in enumerate(self.wanted, 1)]
+        return best.select(*keys.columns, F.when(found, F.col(key)).otherwise(none).alias(key), F.coalesce(rank, F.lit(1)).alias(rank), *values)
 
     def _buckets(self, docs: DataFrame, keys: Keys, i: int, g: ByBuckets, axis: str = "") -> tuple[DataFrame, Keys]:
         key, at = (f"__{axis}{i}" if axis else f"g{i}"), f"__o{axis}{i}"
@@ -263,7 +278,8 @@ class Compiler:
     # Aggregation.
 
     def _aggregate(self, docs: DataFrame, keys: Keys) -> DataFrame:
-        # Labels follow from places, so rows are grouped by places alone where there are any.
+        if self.ready is not None:
+            return self.ready
         grouped = docs.groupBy(*keys.columns)
         found = grouped.agg(*self._aggregates())
         for i, m in enumerate(self.wanted, 1):
@@ -274,9 +290,6 @@ class Compiler:
         if keys.parents is not None:
             found = self._beside(keys.parents, found, keys)
         values = [self._value(i, m, found.columns).alias(f"m{i}") for i, m in enumerate(self.wanted, 1)]
-        if self.top_rank:
-            missing = F.coalesce(*[F.col(c).cast("double") for c in found.columns if c.startswith(("m", "__top", "__rows"))]).isNull()
-            values = [F.when(missing, F.lit(0.0)).otherwise(v).alias(f"m{n}") for n, v in enumerate(values, 1)]
         return found.select(*keys.columns, *values)
 
     @staticmethod
