@@ -8,10 +8,10 @@ class one line stays: that of the smallest document id, there the first one.
    k edits leave one segment untouched.
 2. Probe: for each length from l - k to l, and each segment, the substrings that can equal it: those whose shift is
    explained by fewer edits to the left than segments lie there, and likewise to the right.
-3. Candidates share a key and pass a count filter: 16 classes of characters, of which 2k counts at most can differ.
-   Keys shared by more than ``HOT`` lines are made finer by the counts themselves: of 2k + 1 groups of classes one
-   must agree.
-4. Verification: banded bit-parallel edit distance.  The band's 2k + 1 cells of a column are bits of one number; a
+3. Candidates share a key, and then pass a count filter: 16 classes of characters, of which 2k counts at most can
+   differ.  Keys shared by more than ``HOT`` lines are made finer by the counts themselves: of 2k + 1 groups of classes
+   one must agree.
+4. Verification: what two lines have in common at both ends is taken off, then banded bit-parallel edit distance.  The band's 2k + 1 cells of a column are bits of one number; a
    column costs a few word operations.  It runs as an ``aggregate`` over the characters.
 5. Components of the links (see ``components``).
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import connected_components
 
-HOT = 256
+HOT = 64
 CLASSES = 16
 
 
@@ -88,40 +88,63 @@ def banded_distance(a: Column, b: Column, k: int) -> Column:
     """Edit distance of a and b (not shorter than b, by k at most) if it is at most k, else k + 1."""
     width = 2 * k + 1
     full = (1 << width) - 1
-    long_, short = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
+    long_, short, m, n = F.split(a, ""), F.split(b, ""), F.length(a), F.length(b)
     bits = lambda x: F.lit(x).cast("long")
-    start = F.struct(bits(full - (1 << k) + 1).alias("vp"), bits(0).alias("vn"), bits(k).alias("dist"))
-
-    def column(state: Column, i: Column) -> Column:
-        c = F.get(short, i)
-        match = bits(0)
-        for o in range(width):
-            match = match.bitwiseOR(F.when(F.get(long_, i - k + o) == c, bits(1 << o)).otherwise(bits(0)))
-        vp, vn = state["vp"], state["vn"]
-        d0 = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(bits(full))
-        return F.struct(vp.alias("vp"), vn.alias("vn"), state["dist"].alias("dist"), d0.alias("d0"))
-
-    def finish(state: Column, i: Column) -> Column:
-        vp, vn, d0 = state["vp"], state["vn"], state["d0"]
+    none = F.lit(None).cast("string")
+    # For each column the cells of the band whose characters match: one comparison of the arrays for each of its diagonals.
+    match = None
+    for o in range(width):
+        moved = F.concat(F.array_repeat(none, k - o), long_) if o < k else F.slice(long_, F.lit(o - k + 1), m + 1)
+        bit = bits(1 << o)
+        cells = F.zip_with(short, moved, lambda x, y: F.when(x == y, bit).otherwise(bits(0)))  # noqa: B023  used at once
+        match = cells if match is None else F.zip_with(match, cells, lambda x, y: F.coalesce(x, bits(0)).bitwiseOR(F.coalesce(y, bits(0))))
+
+    def step(state: Column, match: Column) -> Column:
+        vp, vn, left = state["vp"], state["vn"], state["left"]
+        d0 = match.bitwiseAND(vp) + vp
+        d0 = d0.bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(bits(full))
         hp = vn.bitwiseOR(d0.bitwiseOR(vp).bitwiseXOR(bits(full)))
         hn = d0.bitwiseAND(vp)
         down = F.shiftright(d0, 1)
-        at = F.greatest(F.lit(width - 2) - (i - (m - k)), F.lit(0)).cast("int")
-        bit = lambda x, p: F.call_function("shiftrightunsigned", x, p).bitwiseAND(bits(1))
-        dist = state["dist"] + F.when(i < m - k, bits(1) - bit(d0, F.lit(width - 1))).otherwise(bit(hp, at) - bit(hn, at))
+        # Down the band's edge while it lies above the last row (left > 0), then along that row.
+        at = F.greatest(F.lit(width - 2) + left, F.lit(0))
+        sign = lambda x, p: F.call_function("shiftrightunsigned", x, p).bitwiseAND(bits(1))
+        more = F.when(left > 0, bits(1) - sign(d0, F.lit(width - 1))).otherwise(sign(hp, at) - sign(hn, at))
         return F.struct(
             hn.bitwiseOR(down.bitwiseOR(hp).bitwiseXOR(bits(full))).bitwiseAND(bits(full)).alias("vp"),
             down.bitwiseAND(hp).alias("vn"),
-            dist.alias("dist"),
+            (state["dist"] + more).alias("dist"),
+            (left - 1).alias("left"),
         )
 
-    walked = F.aggregate(
-        F.sequence(F.lit(0), n - 1), start, lambda s, i: F.element_at(F.transform(F.array(column(s, i)), lambda t: finish(t, i)), 1)
-    )
+    start = F.struct(bits(full - (1 << k) + 1).alias("vp"), bits(0).alias("vn"), F.least(bits(k), m.cast("long")).alias("dist"), (m - k).alias("left"))
+    walked = F.aggregate(F.slice(match, F.lit(1), n), start, step)
     return F.when(n == 0, m.cast("long")).otherwise(F.least(walked["dist"], bits(k + 1)))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of what two different strings have in common at the start, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in range(29, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, w: p + F.when(F.substring(a, p + 1, w) == F.substring(b, p + 1, w), w).otherwise(F.lit(0)))
+
+
+def trimmed(a: Column, b: Column) -> Column:
+    """(x, y): two different strings without their common start and end, backwards; their edit distance is the same."""
+    whole = F.lit(2**31 - 1)
+    rests = let(common_prefix(a, b), lambda p: F.struct(F.reverse(F.substring(a, p + 1, whole)).alias("x"), F.reverse(F.substring(b, p + 1, whole)).alias("y")))
+    return let(
+        rests,
+        lambda r: let(
+            common_prefix(r["x"], r["y"]), lambda p: F.struct(F.substring(r["x"], p + 1, whole).alias("x"), F.substring(r["y"], p + 1, whole).alias("y"))
+        ),
+    )
+
+
 class LineDedup:
     def __init__(self, docs: DataFrame, k: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT):
         if min_chars <= k:
@@ -139,19 +162,25 @@ class LineDedup:
         return scratch.materialize(found.withColumn("id", F.monotonically_increasing_id()), "lines")
 
     def _candidates(self) -> DataFrame:
-        """Pairs (a, b) that share a key and pass the count filter; a is the probe, not shorter than b."""
+        """Pairs (a, b) that share a key; a is the probe, not shorter than b."""
         k, length = self.k, F.length("line").cast("int")
-        near = self.lines.filter(length >= self.min_chars)
-        first, second = class_counts(F.col("line"))
-        rows = near.select("id", "line", length.alias("n"), first.alias("c1"), second.alias("c2"))
-        index = rows.select("id", "n", "c1", "c2", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), k))).alias("key"))
-        probe = rows.select("id", "n", "c1", "c2", F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"), F.col("n"), k)))).alias("key"))
+        rows = self.lines.filter(length >= self.min_chars).select("id", "line", length.alias("n"))
+        index = rows.select("id", "n", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), k))).alias("key"))
+        probe = rows.select("id", "n", F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"), F.col("n"), k)))).alias("key"))
         crowded = scratch.materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > self.hot).select("key"), "line-hot")
         if crowded.isEmpty():
-            return self._pairs(probe, index)
-        finer = [t.join(crowded, "key", "left_semi").withColumn("key", F.explode(F.array(*self._finer()))) for t in (probe, index)]
+            return self._pairs(probe, index).distinct()
         calm = [t.join(crowded, "key", "left_anti") for t in (probe, index)]
-        return self._pairs(*calm).unionByName(self._pairs(*finer)).distinct()
+        close = [scratch.materialize(t.join(crowded, "key", "left_semi"), "line-crowd") for t in (probe, index)]
+        counts = self._texts(close[0].unionByName(close[1]).select("id")).drop("line")
+        finer = [t.join(counts, "id").withColumn("key", F.explode(F.array(*self._finer()))) for t in close]
+        return self._pairs(*calm).unionByName(self._pairs(*finer, counted=True)).distinct()
+
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """(id, line, c1, c2) of the lines asked for."""
+        first, second = class_counts(F.col("line"))
+        found = self.lines.select("id", "line").join(ids.distinct(), "id", "left_semi")
+        return scratch.materialize(found.select("id", "line", first.alias("c1"), second.alias("c2")), "line-texts")
 
     def _finer(self) -> list[Column]:
         """Keys of 2k + 1 groups of classes; 2k changes leave one group's counts alone."""
@@ -159,22 +188,22 @@ class LineDedup:
         count = 2 * self.k + 1
         return [F.xxhash64("key", F.lit(g), *parts[g::count]) for g in range(count)]
 
-    def _pairs(self, probe: DataFrame, index: DataFrame) -> DataFrame:
+    def _pairs(self, probe: DataFrame, index: DataFrame, counted: bool = False) -> DataFrame:
         p, x = probe.alias("p"), index.alias("x")
-        ordered = (F.col("p.n") > F.col("x.n")) | (F.col("p.id") < F.col("x.id"))
-        alike = count_gap([F.col("p.c1"), F.col("p.c2")], [F.col("x.c1"), F.col("x.c2")]) <= 2 * self.k
-        found = p.join(x, (F.col("p.key") == F.col("x.key")) & (F.col("p.id") != F.col("x.id")) & ordered & alike)
-        return found.select(F.col("p.id").alias("a"), F.col("x.id").alias("b")).distinct()
+        on = (F.col("p.key") == F.col("x.key")) & (F.col("p.id") != F.col("x.id")) & ((F.col("p.n") > F.col("x.n")) | (F.col("p.id") < F.col("x.id")))
+        if counted:
+            on = on & (count_gap([F.col("p.c1"), F.col("p.c2")], [F.col("x.c1"), F.col("x.c2")]) <= 2 * self.k)
+        return p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b"))
 
     def links(self) -> DataFrame:
         """Verified pairs (a, b)."""
         pairs = scratch.materialize(self._candidates(), "line-pairs")
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = scratch.materialize(self.lines.select("id", "line").join(wanted, "id", "left_semi"), "line-texts")
-        found = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
-            texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"
-        )
-        return found.filter(banded_distance(F.col("la"), F.col("lb"), self.k) <= self.k).select("a", "b")
+        texts = self._texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+        sides = [texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab"]
+        found = pairs.join(sides[0], F.col("a") == F.col("a_id")).join(sides[1], F.col("b") == F.col("b_id"))
+        found = found.filter(count_gap([F.col("a_c1"), F.col("a_c2")], [F.col("b_c1"), F.col("b_c2")]) <= 2 * self.k)
+        short = scratch.materialize(found.select("a", "b", trimmed(F.col("a_line"), F.col("b_line")).alias("t")), "line-trimmed")
+        return short.filter(banded_distance(F.col("t.x"), F.col("t.y"), self.k) <= self.k).select("a", "b")
 
     def _classes(self) -> DataFrame:
         """(id, doc, place, docs, class, kept): the class of each different line."""

@@ -189,7 +189,7 @@ def edited(rnd, line, edits):
     return "".join(own)
 
 
-@pytest.mark.parametrize("hot", [256, 2])
+@pytest.mark.parametrize("hot", [64, 2])
 def test_lines_same_as_brute_force(spark, hot):
     rnd = random.Random(hot)
     bases = ["".join(rnd.choice("abcdeé ") for _ in range(rnd.randint(20, 40))).strip().ljust(20, "x") for _ in range(12)]
@@ -229,6 +229,9 @@ def test_banded_distance(spark):
     for k in (1, 2, 3):
         own = df.filter(F.length("a") - F.length("b") <= k).withColumn("x", line_dedup.banded_distance(F.col("a"), F.col("b"), k))
         assert own.filter(F.col("x") != F.least("d", F.lit(k + 1))).count() == 0
+        cut = own.filter("a <> b").withColumn("t", line_dedup.trimmed(F.col("a"), F.col("b")))
+        assert cut.filter(line_dedup.banded_distance(F.col("t.x"), F.col("t.y"), k) != F.col("x")).count() == 0
+        assert cut.filter("t.x <> '' and t.y <> '' and (left(t.x, 1) = left(t.y, 1) or right(t.x, 1) = right(t.y, 1))").count() == 0
 
 
 def test_no_python_on_the_native_paths(spark):
