@@ -112,8 +112,8 @@ class HashIndex:
 
     def survivors(self) -> DataFrame:
         """The kept rows with the columns they came with."""
-        copies = self.groups().filter(~F.col("kept")).select("uid")
-        return self.index.join(copies, "uid", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in self.row_columns])
+        copies = scratch.materialize(self.groups().filter(~F.col("kept")).select("uid"), "hash-copies")
+        return self.index.join(scratch.sized(copies), "uid", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in self.row_columns])
 
 
 def exact_groups(docs: DataFrame, **options) -> DataFrame:

@@ -287,6 +287,7 @@ class NgramJoin:
         )
         total = groups.agg(F.sum("held").alias("t")).collect()[0]["t"] or 0
         limit = max(total // HEAVY_SHARE, 1)  # at most HEAVY_SHARE groups hold more rows than this
+        self.heavy = groups.filter(F.col("held") > limit).select("rep")
         heavy = F.broadcast(groups.filter(F.col("held") > limit).drop("held"))
         light = groups.filter(F.col("held") <= limit).drop("held")
         rows = self.sets.filter("n_shingles > 0")
@@ -359,7 +360,7 @@ class NgramJoin:
         return left.select(*columns).unionByName(right.select(*columns)).distinct()
 
     def _product(self, tasks: DataFrame) -> DataFrame:
-        wanted = tasks.join(self.texts, "doc_id")
+        wanted = self.texts.join(scratch.sized(scratch.materialize(tasks, "ngram-tasks")), "doc_id")
         return block_links(wanted, self.n, self.num, self.den).distinct()
 
     def components(self) -> DataFrame:
@@ -367,7 +368,10 @@ class NgramJoin:
         found = connected_components(self.links)
         degree = self.links.select(F.col("a").alias("x")).unionByName(self.links.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
         reps = found.join(degree, found["node"] == degree["x"], "left").select("node", "component", "n_links")
-        linked = self.classes.join(reps, self.classes["rep"] == reps["node"], "left").select(
+        # Members of large classes, of which there are few, look their class up by broadcast.
+        few = F.broadcast(self.heavy.join(reps, F.col("rep") == F.col("node"), "left").select("rep", "node", "component", "n_links"))
+        many = self.classes.join(F.broadcast(self.heavy), "rep", "left_anti")
+        linked = many.join(reps, many["rep"] == reps["node"], "left").unionByName(self.classes.join(few, "rep")).select(
             "doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
         )
         empty = self.sets.filter("n_shingles = 0").select(
@@ -379,5 +383,5 @@ class NgramJoin:
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that link, directly or not, with one of a smaller id."""
     rows = NgramJoin(docs, n, num, den, id_col, text_col).components()
-    drop = rows.filter("component_id != doc_id").select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    drop = scratch.materialize(rows.filter("component_id != doc_id").select(F.col("doc_id").alias("__drop")), "ngram-drop")
+    return docs.join(scratch.sized(drop), docs[id_col] == drop["__drop"], "left_anti")

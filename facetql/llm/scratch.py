@@ -13,8 +13,10 @@ import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
+BROADCAST_ROWS = 500_000
 _made: list[str] = []
 _apart: list[str] = []
 
@@ -47,6 +49,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` (narrow) rows; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def write_apart(df: DataFrame, name: str) -> DataFrame:
     """Like ``materialize``, for results that outlive ``release``: at the program's end they go too."""
     path = new_path(df.sparkSession, name)
