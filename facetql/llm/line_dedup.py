@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import connected_components
 
-HOT = 64
+HOT = 8
 CLASSES = 16
 
 
@@ -170,6 +170,7 @@ class LineDedup:
         crowded = scratch.materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > self.hot).select("key"), "line-hot")
         if crowded.isEmpty():
             return self._pairs(probe, index).distinct()
+        crowded = scratch.sized(crowded)
         calm = [t.join(crowded, "key", "left_anti") for t in (probe, index)]
         close = [scratch.materialize(t.join(crowded, "key", "left_semi"), "line-crowd") for t in (probe, index)]
         counts = self._texts(close[0].unionByName(close[1]).select("id")).drop("line")
