@@ -4,6 +4,10 @@ Lines are what newlines separate.  Blank lines are left alone.  Equal lines coll
 at least ``min_chars`` characters link when their edit distance is at most ``k``; a class is what links connect.  Of a
 class one line stays: that of the smallest document id, there the first one.
 
+With ``percent`` the distance follows the length n of the shorter line: one edit in ten characters up to ``k`` (below
+ten characters only equal lines match), and ``percent`` of n where that is more.  Lines whose distance is ``k`` at most
+are joined in bands of one distance by steps 1 to 3, longer ones by windows (step 6).
+
 1. Index: a line of length l is cut into k + 1 segments as even as possible; each is a key with l and its number.
    k edits leave one segment untouched.
 2. Probe: for each length from l - k to l, and each segment, the substrings that can equal it: those whose shift is
@@ -14,6 +18,10 @@ class one line stays: that of the smallest document id, there the first one.
 4. Verification: what two lines have in common at both ends is taken off, then banded bit-parallel edit distance.  The band's 2k + 1 cells of a column are bits of one number; a
    column costs a few word operations.  It runs as an ``aggregate`` over the characters.
 5. Components of the links (see ``components``).
+6. Long lines: K edits leave one of K + 1 windows of a line untouched.  The windows' width is the same for all lines of
+   a range of lengths, so the windows of the shorter line are looked for at every place of the longer one.  Of these
+   places only those go on whose key is in a bitmap of all windows (if there are at most ``MAP_KEYS``), and pairs need
+   a shift and a difference of lengths within K.
 
 Null text has no lines, an empty table gives an empty result.  Repeated rows are copies of their lines like any others.
 """
@@ -28,6 +36,9 @@ from .components import connected_components
 
 HOT = 8
 CLASSES = 16
+CHUNK = 128
+MAP_KEYS = 1 << 25
+MAP_WORDS = 512
 
 
 def segments(length: Column, k: int) -> list[tuple[Column, Column]]:
@@ -145,11 +156,19 @@ def trimmed(a: Column, b: Column) -> Column:
     )
 
 
+def window_ranges(first: int, percent: int) -> list[tuple[int, int | None, int]]:
+    """(from, below, width): lines of these lengths have room for a window more than ``percent`` of their characters."""
+    bounds = [first, 2 * first, 20 * first // 3, None]
+    return [(low, high, low * 100 // (low * percent + 100)) for low, high in zip(bounds, bounds[1:])]
+
+
 class LineDedup:
-    def __init__(self, docs: DataFrame, k: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT):
+    def __init__(self, docs: DataFrame, k: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, percent: int = 0):
         if min_chars <= k:
             raise ValueError("lines of the edit join must be longer than the distance")
-        self.k, self.min_chars, self.hot = k, min_chars, hot
+        if not 0 <= percent <= 10 or (percent and k < 1):
+            raise ValueError("the distance is at most 10 percent of the length, and k at least 1 then")
+        self.k, self.min_chars, self.hot, self.percent = k, min_chars, hot, percent
         lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
         self.lines = self._distinct()
@@ -161,21 +180,95 @@ class LineDedup:
         found = each.groupBy("line").agg(F.min("doc_id").alias("doc"), F.expr("min_by(place, doc_id)").alias("place"), F.count(F.lit(1)).alias("docs"))
         return scratch.materialize(found.withColumn("id", F.monotonically_increasing_id()), "lines")
 
+    def _allowed(self, n: Column) -> Column:
+        """The distance up to which a line of length n links with one that is not shorter."""
+        if not self.percent:
+            return F.lit(self.k)
+        return F.greatest(F.least(F.lit(self.k), F.floor(n / 10)), F.floor(n * self.percent / 100)).cast("int")
+
     def _candidates(self) -> DataFrame:
         """Pairs (a, b) that share a key; a is the probe, not shorter than b."""
-        k, length = self.k, F.length("line").cast("int")
-        rows = self.lines.filter(length >= self.min_chars).select("id", "line", length.alias("n"))
-        index = rows.select("id", "n", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), k))).alias("key"))
-        probe = rows.select("id", "n", F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"), F.col("n"), k)))).alias("key"))
+        if not self.percent:
+            return self._band(self.k, self.min_chars, None).distinct()
+        # From this length on the percentage is more than k.
+        long_ = max(-(-100 * (self.k + 1) // self.percent), self.min_chars)
+        found = self._long(long_)
+        for k in range(1, self.k + 1):
+            low, high = max(10 * k, self.min_chars), 10 * (k + 1) - 1 if k < self.k else long_ - 1
+            if low <= high:
+                found = found.unionByName(self._band(k, low, high))
+        return found.distinct()
+
+    def _band(self, k: int, low: int, high: int | None) -> DataFrame:
+        """Pairs of which the shorter line has a length from low to high."""
+        length = F.length("line").cast("int")
+        rows = self.lines.filter(length >= low).select("id", "line", length.alias("n"))
+        shorter, longer = (rows, rows) if high is None else (rows.filter(F.col("n") <= high), rows.filter(F.col("n") <= high + k))
+        index = shorter.select("id", "n", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), k))).alias("key"))
+        probe = longer.select("id", "n", F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"), F.col("n"), k)))).alias("key"))
         crowded = scratch.materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > self.hot).select("key"), "line-hot")
         if crowded.isEmpty():
-            return self._pairs(probe, index).distinct()
+            return self._pairs(probe, index)
         crowded = scratch.sized(crowded)
         calm = [t.join(crowded, "key", "left_anti") for t in (probe, index)]
         close = [scratch.materialize(t.join(crowded, "key", "left_semi"), "line-crowd") for t in (probe, index)]
         counts = self._texts(close[0].unionByName(close[1]).select("id")).drop("line")
-        finer = [t.join(counts, "id").withColumn("key", F.explode(F.array(*self._finer()))) for t in close]
-        return self._pairs(*calm).unionByName(self._pairs(*finer, counted=True)).distinct()
+        finer = [t.join(counts, "id").withColumn("key", F.explode(F.array(*self._finer(k)))) for t in close]
+        return self._pairs(*calm).unionByName(self._pairs(*finer, counted=k))
+
+    def _long(self, first: int) -> DataFrame:
+        """Pairs of which the shorter line has at least ``first`` characters, by windows."""
+        n = F.length("line").cast("int")
+        rows = self.lines.filter(n >= first).select("id", "line", n.alias("n"), self._allowed(n).alias("most"))
+        index = probe = None
+        for low, high, width in window_ranges(first, self.percent):
+            shorter, longer = rows.filter(F.col("n") >= low), rows.filter(F.col("n") >= low)
+            if high is not None:
+                shorter, longer = shorter.filter(F.col("n") < high), longer.filter(F.col("n") < high + high * self.percent // 100)
+            windows = shorter.select("id", "n", "most", "line", F.explode(F.sequence(F.lit(1), F.col("most") * width + 1, F.lit(width))).alias("at"))
+            windows = windows.select("id", "n", "most", "at", F.xxhash64(F.lit(width), F.expr(f"substring(line, at, {width})")).alias("key"))
+            # Chunks first: the way to a place in a string grows with the place.
+            chunks = longer.select("id", "n", "line", F.explode(F.sequence(F.lit(0), F.col("n") - width, F.lit(CHUNK))).alias("from"))
+            chunks = chunks.select("id", "n", "from", F.expr(f"substring(line, from + 1, {CHUNK + width - 1})").alias("part"))
+            places = chunks.select("id", "n", "from", "part", F.explode(F.sequence(F.lit(1), F.length("part") - width + 1)).alias("p"))
+            places = places.select("id", "n", (F.col("from") + F.col("p")).alias("at"), F.xxhash64(F.lit(width), F.expr(f"substring(part, p, {width})")).alias("key"))
+            index = windows if index is None else index.unionByName(windows)
+            probe = places if probe is None else probe.unionByName(places)
+        index = scratch.materialize(index, "line-windows")
+        held = index.count()
+        if not held:
+            return index.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        if held <= MAP_KEYS:
+            probe = self._mapped(probe, index, held)
+        probe = scratch.materialize(probe, "line-places")
+        crowded = scratch.materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > self.hot).select("key"), "line-hot")
+        if crowded.isEmpty():
+            return self._pairs(probe, index, shifted=True)
+        crowded = scratch.sized(crowded)
+        calm = [t.join(crowded, "key", "left_anti") for t in (probe, index)]
+        close = [t.join(crowded, "key", "left_semi") for t in (probe, index)]
+        counts = self._texts(close[0].select("id").unionByName(close[1].select("id"))).drop("line")
+        close = [t.join(counts, "id") for t in close]
+        return self._pairs(*calm, shifted=True).unionByName(self._pairs(*close, counted="most", shifted=True))
+
+    def _mapped(self, probe: DataFrame, index: DataFrame, held: int) -> DataFrame:
+        """The places whose key has its three bits set in a bitmap of the windows' keys; it has 16 bits or more a key."""
+        words = MAP_WORDS
+        while words * 64 < 16 * held:
+            words *= 2
+        word, one = F.col("key").bitwiseAND(F.lit(words - 1)), F.lit(1).cast("long")
+        bits = None
+        for by in (46, 52, 58):
+            bit = F.call_function("shiftleft", one, F.shiftrightunsigned("key", by).bitwiseAND(F.lit(63)).cast("int"))
+            bits = bit if bits is None else bits.bitwiseOR(bit)
+        ones = index.select(word.alias("word"), bits.alias("bits"))
+        every = probe.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+        found = ones.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        cells = found.groupBy(F.shiftright("word", 9).alias("cell")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("c"))
+        cells = scratch.materialize(cells.select("cell", F.col("c.bits").alias("map")), "line-map")
+        looked = probe.join(F.broadcast(cells), F.shiftright(word, 9) == F.col("cell"))
+        mine = F.get("map", word.bitwiseAND(F.lit(MAP_WORDS - 1)).cast("int"))
+        return looked.filter(mine.bitwiseAND(bits) == bits).select(*probe.columns)
 
     def _texts(self, ids: DataFrame) -> DataFrame:
         """(id, line, c1, c2) of the lines asked for."""
@@ -183,18 +276,23 @@ class LineDedup:
         found = self.lines.select("id", "line").join(ids.distinct(), "id", "left_semi")
         return scratch.materialize(found.select("id", "line", first.alias("c1"), second.alias("c2")), "line-texts")
 
-    def _finer(self) -> list[Column]:
+    @staticmethod
+    def _finer(k: int) -> list[Column]:
         """Keys of 2k + 1 groups of classes; 2k changes leave one group's counts alone."""
         parts = [F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255)) for c in (F.col("c1"), F.col("c2")) for i in range(8)]
-        count = 2 * self.k + 1
+        count = 2 * k + 1
         return [F.xxhash64("key", F.lit(g), *parts[g::count]) for g in range(count)]
 
-    def _pairs(self, probe: DataFrame, index: DataFrame, counted: bool = False) -> DataFrame:
+    def _pairs(self, probe: DataFrame, index: DataFrame, counted: int | str | None = None, shifted: bool = False) -> DataFrame:
+        """``counted``: the distance that the counts must allow, or the index column that holds it."""
         p, x = probe.alias("p"), index.alias("x")
-        on = (F.col("p.key") == F.col("x.key")) & (F.col("p.id") != F.col("x.id")) & ((F.col("p.n") > F.col("x.n")) | (F.col("p.id") < F.col("x.id")))
+        on = (F.col("p.key") == F.col("x.key")) & (F.col("p.id") != F.col("x.id")) & ((F.col("p.n") > F.col("x.n")) | ((F.col("p.n") == F.col("x.n")) & (F.col("p.id") < F.col("x.id"))))
+        if shifted:
+            on = on & (F.col("p.n") - F.col("x.n") <= F.col("x.most")) & (F.abs(F.col("p.at") - F.col("x.at")) <= F.col("x.most"))
         if counted:
-            on = on & (count_gap([F.col("p.c1"), F.col("p.c2")], [F.col("x.c1"), F.col("x.c2")]) <= 2 * self.k)
-        return p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b"))
+            most = F.col(f"x.{counted}") if isinstance(counted, str) else F.lit(counted)
+            on = on & (count_gap([F.col("p.c1"), F.col("p.c2")], [F.col("x.c1"), F.col("x.c2")]) <= 2 * most)
+        return p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """Verified pairs (a, b)."""
@@ -202,9 +300,14 @@ class LineDedup:
         texts = self._texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
         sides = [texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab"]
         found = pairs.join(sides[0], F.col("a") == F.col("a_id")).join(sides[1], F.col("b") == F.col("b_id"))
-        found = found.filter(count_gap([F.col("a_c1"), F.col("a_c2")], [F.col("b_c1"), F.col("b_c2")]) <= 2 * self.k)
-        short = scratch.materialize(found.select("a", "b", trimmed(F.col("a_line"), F.col("b_line")).alias("t")), "line-trimmed")
-        return short.filter(banded_distance(F.col("t.x"), F.col("t.y"), self.k) <= self.k).select("a", "b")
+        most = self._allowed(F.length("b_line"))
+        found = found.filter(count_gap([F.col("a_c1"), F.col("a_c2")], [F.col("b_c1"), F.col("b_c2")]) <= 2 * most)
+        short = scratch.materialize(found.select("a", "b", most.alias("most"), trimmed(F.col("a_line"), F.col("b_line")).alias("t")), "line-trimmed")
+        if self.percent:  # the band of a long line has more cells than a number has bits
+            near = F.call_function("levenshtein", F.col("t.x"), F.col("t.y"), F.col("most")) >= 0
+        else:
+            near = banded_distance(F.col("t.x"), F.col("t.y"), self.k) <= self.k
+        return short.filter(near).select("a", "b")
 
     def _classes(self) -> DataFrame:
         """(id, doc, place, docs, class, kept): the class of each different line."""

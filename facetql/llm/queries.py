@@ -40,7 +40,7 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.LineDedup(_table(spark, sf_dir, "documents"), k=2).counts()
+    return line_dedup.LineDedup(_table(spark, sf_dir, "documents"), k=2, min_chars=10, percent=5).counts()
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,45 @@ def test_lines_same_as_brute_force(spark, hot):
     assert {r["doc_id"]: r["text"] for r in own.texts().collect()}[43] == "short\nshorz"
 
 
+def allowed(n):
+    return max(min(2, n // 10), n * 5 // 100)
+
+
+@pytest.mark.parametrize("hot, keys", [(8, line_dedup.MAP_KEYS), (2, line_dedup.MAP_KEYS), (8, 0)])
+def test_distance_grows_with_the_line(spark, monkeypatch, hot, keys):
+    monkeypatch.setattr(line_dedup, "MAP_KEYS", keys)
+    rnd = random.Random(hot)
+    lengths = [7, 10, 14, 19, 20, 33, 59, 60, 61, 79, 119, 120, 125, 199, 280, 399, 400, 419, 700]
+    lines = {"ab" * 35, "ab" * 36, "ab" * 34 + "ba"}
+    for n in lengths:
+        base = "".join(rnd.choice("abcdeé ") for _ in range(n - 2)).join("xx")
+        edge = allowed(n)
+        for edits in (0, 1, edge, edge, edge + 1, edge + 2, 2 * edge):
+            lines.add(edited(rnd, base, edits))
+        lines.add(base[:n // 2] + "q" * edge + base[n // 2:])
+        lines.add("q" * edge + base)
+        lines.add(base[:n // 3] + "q" * (edge + 1) + base[n // 3:])
+    lines = sorted(x for x in lines if x.strip(" "))
+    want = {
+        frozenset((a, b))
+        for i, a in enumerate(lines)
+        for b in lines[:i]
+        if (k := allowed(min(len(a), len(b)))) and abs(len(a) - len(b)) <= k and distance(a, b) <= k
+    }
+    own = line_dedup.LineDedup(docs_of(spark, lines), k=2, min_chars=10, hot=hot, percent=5)
+    names = {r["id"]: r["line"] for r in own.lines.collect()}
+    got = {frozenset((names[r["a"]], names[r["b"]])) for r in own.links().collect()}
+    assert got == want and len({len(min(p, key=len)) for p in want}) > 15
+
+
+def test_registered_line_query_finds_a_replaced_word(spark, tmp_path):
+    words = [f"word{i}" for i in range(33)]
+    texts = [" ".join(words), " ".join([*words[:9], "another", *words[10:]]), "Contact us now", "Contact us naw", "Page 1", "Page 2"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r["n_near"] for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert rows == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
 def test_banded_distance(spark):
     rnd = random.Random(3)
     rows = []
