@@ -18,6 +18,9 @@ blocks that can hold links and bounded by sizes:
    copies costs about one row, not all pairs.  Blocks over ``block_ngrams`` are cut into pieces that share
    ``PIVOTS`` rows; rows that are not in the block's main component afterwards are multiplied with all pieces.
 5. Components of the links, then of the documents through their classes.
+6. Counting links takes the whole product instead of step 4's part: all rows against all columns.  N-grams that most
+   rows of a block have are counted by the rows that lack them, so near copies stay cheap.  Blocks over
+   ``block_ngrams`` are cut into pieces and each two pieces meet in a task, so that each pair is counted once.
 
 Null and empty texts have an empty set and link with nothing.  Texts of fewer than n words have one n-gram, the
 whole sequence.  Ids are taken to be unique; of rows that share an id each is classed by its own text.  A row
@@ -237,19 +240,69 @@ def product_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, jo
     return links
 
 
-def block_links(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) within each task of (task, doc_id, text, known); ``known`` is the component found before."""
+def product_counts(ids: list[int], sets: list[np.ndarray], num: int, den: int, sides: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links that span the components, (id, number of links)) of the whole product of different sets.
+
+    Two rows of the same side other than -1 are left to another task.
+    """
+    first = list({set_marks(s): i for i, s in reversed(list(enumerate(sets)))}.values())
+    ids, sets, side = [ids[i] for i in first], [sets[i] for i in first], np.array([sides[i] for i in first], np.int64)
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets])
+    columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    row_of = np.repeat(np.arange(n), sizes)
+    held = np.bincount(columns)
+    dense = held * 2 > n
+    # Rows by column: those that have it, of a dense column those that lack it.
+    sparse = ~dense[columns]
+    rows = [row_of[sparse][np.argsort(columns[sparse], kind="stable")]]
+    lacks = np.ones((int(dense.sum()), n), bool)
+    lacks[(np.cumsum(dense) - 1)[columns[~sparse]], row_of[~sparse]] = False
+    rows = np.concatenate([*rows, np.nonzero(lacks)[1]])
+    count = np.where(dense, n - held, held)
+    at = np.where(dense, int(held[~dense].sum()) + np.cumsum(count * dense) - count, np.cumsum(count * ~dense) - count)
+
+    def tally(own: np.ndarray) -> np.ndarray:
+        many = count[own]
+        where = np.repeat(at[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return np.bincount(rows[where], minlength=n)
+
+    links, counts = [], []
+    label = np.arange(n)
+    for i in range(n):
+        own = columns[ends[i] : ends[i + 1]]
+        common = dense[own]
+        overlap = tally(own[~common]) + int(common.sum()) - tally(own[common])
+        near = (overlap * (den + num) >= num * (sizes[i] + sizes)) & (overlap > 0) & ((side != side[i]) | (side == -1))
+        near[i] = False
+        near = np.flatnonzero(near)
+        if not len(near):
+            continue
+        counts.append((ids[i], len(near)))
+        for j in near[label[near] != label[i]].tolist():
+            if label[j] != label[i]:
+                links.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+    return links, counts
+
+
+def block_links(rows: DataFrame, n: int, num: int, den: int, counted: bool = False) -> DataFrame:
+    """Links (a, b) within each task of (task, doc_id, text, known); ``known`` is the component found before.
+
+    ``counted``: also rows (a, null, n) with the number of a's links in the task; ``known`` is the row's side then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ids, sets, known = None, [], [], []
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int | None, int | None]] = []
         for batch in batches:
             for part in _slices(batch, 500):
                 tasks = part.column(0).to_pylist()
                 own = zip(tasks, part.column(1).to_pylist(), part.column(3).to_pylist(), shingle_sets(_texts(part, 2), n))
                 for t, doc, before, s in own:
                     if t != task:
-                        out += product_links(ids, sets, num, den, known) if len(ids) > 1 else []
+                        out += found(ids, sets, known)
                         task, ids, sets, known = t, [], [], []
                     ids.append(doc)
                     sets.append(s)
@@ -257,27 +310,39 @@ def block_links(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if len(out) > 10_000:
                 yield links_batch(out)
                 out = []
-        out += product_links(ids, sets, num, den, known) if len(ids) > 1 else []
+        out += found(ids, sets, known)
         if out:
             yield links_batch(out)
 
-    def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*links)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def found(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tuple[int, int | None, int | None]]:
+        if len(ids) < 2:
+            return []
+        if not counted:
+            return [(a, b, None) for a, b in product_links(ids, sets, num, den, known)]
+        links, counts = product_counts(ids, sets, num, den, known)
+        return [(a, b, None) for a, b in links] + [(a, None, c) for a, c in counts]
+
+    def links_batch(links: list[tuple[int, int | None, int | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b", "n"])
 
     ordered = rows.select("task", "doc_id", "text", "known").repartition("task").sortWithinPartitions("task", "doc_id")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long, n long")
 
 
 class NgramJoin:
     """Links of documents with den * intersection >= num * union of their n-word shingle sets."""
 
-    def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_ngrams: int = BLOCK_NGRAMS):
-        self.n, self.num, self.den, self.block_ngrams = n, num, den, block_ngrams
+    def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_ngrams: int = BLOCK_NGRAMS, counted: bool = True):
+        self.n, self.num, self.den, self.block_ngrams, self.counted = n, num, den, block_ngrams, counted
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
         self.sets = scratch.materialize(set_table(self.texts, n), "ngram-sets")
         self.classes = self._classes()
-        self.links = self._links()
+        if counted:
+            product = self._whole_product()
+            self.links = product.filter("b is not null").select("a", "b")
+            self.degrees = product.filter("b is null").groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("n_links"))
+        else:
+            self.links = self._links()
 
     def _classes(self) -> DataFrame:
         """(doc_id, n_shingles, rep): rep is the least id with the same set."""
@@ -318,6 +383,21 @@ class NgramJoin:
             "ngram-blocks",
         )
 
+    def _whole_product(self) -> DataFrame:
+        """(a, b, null): links that span the components; (a, null, n): parts of the number of a's links."""
+        blocks = self._blocks()
+        weights = blocks.groupBy("block").agg(F.sum("weight").alias("total"))
+        # Two pieces meet in a task.
+        pieces = F.when(F.col("total") > self.block_ngrams, F.ceil(2 * F.col("total") / self.block_ngrams)).otherwise(1).cast("int")
+        large = scratch.materialize(weights.withColumn("pieces", pieces).filter("pieces > 1"), "ngram-large")
+        tasks = blocks.join(large.select("block"), "block", "left_anti").select(F.xxhash64("block").alias("task"), "doc_id", F.lit(-1).cast("long").alias("known"))
+        if not large.isEmpty():
+            own = blocks.join(large, "block").withColumn("own", F.pmod(F.xxhash64("doc_id"), "pieces")).withColumn("other", numbers("pieces"))
+            task = F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other"))
+            side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own").cast("long"))
+            tasks = tasks.unionByName(own.select(task.alias("task"), "doc_id", side.alias("known")))
+        return scratch.materialize(self._tasks(tasks, True), "ngram-product")
+
     def _links(self) -> DataFrame:
         blocks = self._blocks()
         weights = blocks.groupBy("block").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
@@ -360,13 +440,16 @@ class NgramJoin:
         return left.select(*columns).unionByName(right.select(*columns)).distinct()
 
     def _product(self, tasks: DataFrame) -> DataFrame:
+        return self._tasks(tasks, False).select("a", "b").distinct()
+
+    def _tasks(self, tasks: DataFrame, counted: bool) -> DataFrame:
         wanted = self.texts.join(scratch.sized(scratch.materialize(tasks, "ngram-tasks")), "doc_id")
-        return block_links(wanted, self.n, self.num, self.den).distinct()
+        return block_links(wanted, self.n, self.num, self.den, counted)
 
     def components(self) -> DataFrame:
-        """One row per document: doc_id, n_shingles, component_id, class_id, n_links (links of its class that the product kept)."""
+        """One row per document: doc_id, n_shingles, component_id, class_id; if counted, n_links (different sets that its own links with)."""
         found = connected_components(self.links)
-        degree = self.links.select(F.col("a").alias("x")).unionByName(self.links.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
+        degree = self.degrees if self.counted else found.select(F.col("node").alias("x"), F.lit(0).cast("long").alias("n_links"))
         reps = found.join(degree, found["node"] == degree["x"], "left").select("node", "component", "n_links")
         # Members of large classes, of which there are few, look their class up by broadcast.
         few = F.broadcast(self.heavy.join(reps, F.col("rep") == F.col("node"), "left").select("rep", "node", "component", "n_links"))
@@ -377,11 +460,11 @@ class NgramJoin:
         empty = self.sets.filter("n_shingles = 0").select(
             "doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
         )
-        return linked.unionByName(empty).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+        return linked.unionByName(empty).select("doc_id", "n_shingles", "component_id", "class_id", *(["n_links"] if self.counted else []))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that link, directly or not, with one of a smaller id."""
-    rows = NgramJoin(docs, n, num, den, id_col, text_col).components()
+    rows = NgramJoin(docs, n, num, den, id_col, text_col, counted=False).components()
     drop = scratch.materialize(rows.filter("component_id != doc_id").select(F.col("doc_id").alias("__drop")), "ngram-drop")
     return docs.join(scratch.sized(drop), docs[id_col] == drop["__drop"], "left_anti")

@@ -123,6 +123,21 @@ def test_components_same_as_brute_force(spark, n, num, block):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == brute_components(texts, n, num, 100)
 
 
+@pytest.mark.parametrize("n,num,block", [(3, 90, 3_000_000), (5, 80, 1500), (2, 60, 400)])
+def test_links_are_counted_whole(spark, n, num, block):
+    rnd = random.Random(num)
+    texts = ["one", "a b c", "a b c d", ""] + family(rnd, 30, 300, 2) + family(rnd, 40, 60, 8) + family(rnd, 30, 200, 20) + family(rnd, 20, 12, 1)
+    sets = brute_sets(texts, n)
+    kinds = {frozenset(s) for s in sets}
+    want = {i: sum(100 * len(s & k) >= num * len(s | k) for k in kinds if s and k and k != s) for i, s in enumerate(sets)}
+    found = ngram_join.NgramJoin(docs_of(spark, texts, partitions=3), n, num, 100, block_ngrams=block)
+    rows = found.components().collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == want and max(want.values()) > 5
+    plain = ngram_join.NgramJoin(docs_of(spark, texts, partitions=3), n, num, 100, block_ngrams=block, counted=False)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in plain.components().collect())
+    assert got == brute_components(texts, n, num, 100)
+
+
 def test_keep_one(spark):
     rnd = random.Random(1)
     texts = family(rnd, 6, 100, 1) + ["quite another text of more than five words"] + [None, None]
