@@ -159,9 +159,7 @@ class Compiler:
             rows = self._exploded(docs, g.field, key)
             parents = None
             if g.explode:
-                terms = rows.select(key).distinct()
-                limited = terms.limit(MOST_GROUPS + 1)
-                parents = self._times_terms(self._present(docs, keys), limited, key)
+                parents = self._times_terms(self._present(docs, keys), rows.select(key).distinct())
             return rows, Keys([*keys.columns, key], [*keys.order, key], parents)
         if isinstance(g, ByTerms):
             return self._terms(docs, keys, i, g, last)
@@ -176,16 +174,17 @@ class Compiler:
             return docs, Keys([*[c for c in keys.columns if c not in (f"__x{i}", f"__y{i}")], key], keys.order, parents.drop(f"__x{i}", f"__y{i}"))
         return self._buckets(docs, keys, i, g)
 
-    def _times_terms(self, parents: DataFrame | None, terms: DataFrame, key: str) -> DataFrame:
+    def _times_terms(self, parents: DataFrame | None, terms: DataFrame) -> DataFrame:
         """Explode: parents times terms; the result's own size is the answer's, checked against the limit on groups."""
+        t = terms.limit(MOST_GROUPS + 1).count()
         if parents is None:
+            if t > MOST_GROUPS:
+                raise LimitError(f"more than {MOST_GROUPS} terms exceed {MOST_GROUPS} groups", "group by")
             return terms
-        product = parents.crossJoin(terms)
-        counts = parents.agg(F.count(F.lit(1)).alias("p")).crossJoin(terms.agg(F.count(F.lit(1)).alias("t")))
-        row = counts.collect()[0]
-        if row["p"] * row["t"] > MOST_GROUPS:
-            raise LimitError(f"{row['p']} groups with {row['t']} terms each exceed {MOST_GROUPS} groups", "group by")
-        return product
+        p = parents.count()
+        if p * t > MOST_GROUPS:
+            raise LimitError(f"{p} groups with {t} terms each exceed {MOST_GROUPS} groups", "group by")
+        return parents.crossJoin(terms)
 
     def _terms(self, docs: DataFrame, keys: Keys, i: int, g: ByTerms, last: bool) -> tuple[DataFrame, Keys]:
         key, at = f"g{i}", f"__o{i}"

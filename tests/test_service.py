@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from facetql import results
 from facetql.errors import LimitError, QueryError
+from facetql.operators import execute
 from facetql.service import Engine, Limits
 
 Q = "from d 1970-01-01 1970-01-02 group by k select count(), n/3"
@@ -34,6 +35,19 @@ def test_writers(engine):
     assert "event: resultstream\ndata: a\t2\t1.6666667\ndata: b" in text and '"m1": 3.0' in text and "event: complete" in text
 
 
+def test_every_position_of_explode_is_checked(spark, monkeypatch):
+    rows = [(60 * i, f"u{i % 4}", i % 2) for i in range(12)]
+    own = Engine(spark)
+    own.register("d", spark.createDataFrame(rows, "time long, k string, n long"))
+    for groups in ("k*, n[2]", "k*, time(12h)", "n, k*"):
+        query = f"from d 1970-01-01 1970-01-02 group by {groups} select count()"
+        monkeypatch.setattr(execute, "MOST_GROUPS", 8)
+        assert sum(r["m1"] for r in own.query(query).collect()) == 12
+        monkeypatch.setattr(execute, "MOST_GROUPS", 2)
+        with pytest.raises(LimitError):
+            own.query(query).collect()
+
+
 def test_event_errors(spark):
     broken = spark.range(1).select(F.raise_error(F.lit("no")).alias("g1"))
     assert "event: servererror" in "".join(results.events(broken))
