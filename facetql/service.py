@@ -14,7 +14,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import results
@@ -135,16 +135,15 @@ class Engine:
         if window is None:
             return []
         hour = F.floor(dataset.terms(dataset.find(dataset.time)) / 3600)
-        have = {r["h"] for r in dataset.df.filter(window).select(hour.alias("h")).distinct().limit(100_000).collect()}
         first = int((start - datetime(1970, 1, 1)).total_seconds() // 3600)
         last = int(-((start.__class__(1970, 1, 1) - end).total_seconds() // 3600))
-        gaps, run = [], None
-        for h in range(first, last + 1):
-            if h < last and h not in have:
-                run = h if run is None else run
-            elif run is not None:
-                gaps.append("-".join(time.strftime("%Y%m%d.%H", time.gmtime(x * 3600)) for x in (run, h)))
-                run = None
+        # Hours that hold rows, and the range's ends; an hour's gap reaches to the next one.
+        ends = self.spark.createDataFrame([(first - 1,), (last,)], "h long")
+        have = dataset.df.filter(window).select(hour.cast("long").alias("h")).filter((F.col("h") >= first) & (F.col("h") < last)).unionByName(ends).distinct()
+        have = have.withColumn("next", F.lead("h").over(Window.orderBy("h"))).filter("next > h + 1").orderBy("h")
+        gaps = []
+        for r in have.toLocalIterator():
+            gaps.append("-".join(time.strftime("%Y%m%d.%H", time.gmtime(x * 3600)) for x in (r["h"] + 1, r["next"])))
         return gaps
 
     # Execution.

@@ -48,6 +48,21 @@ def test_every_position_of_explode_is_checked(spark, monkeypatch):
             own.query(query).collect()
 
 
+def test_missing_hours_beyond_any_bound(spark):
+    first, last = datetime(1970, 1, 1), datetime(1990, 1, 1)
+    hours = int((last - first).total_seconds() // 3600)
+    gone = (0, 5, 6, 101_000, 150_000, hours - 1)
+    df = spark.range(hours).filter(~F.col("id").isin(*gone)).select((F.col("id") * 3600).alias("time"), F.lit("a").alias("k"))
+    own = Engine(spark)
+    own.register("d", df)
+
+    def span(a, b):
+        return "-".join(time.strftime("%Y%m%d.%H", time.gmtime(x * 3600)) for x in (a, b))
+
+    assert own.missing("d", first, last) == [span(0, 1), span(5, 7), span(101_000, 101_001), span(150_000, 150_001), span(hours - 1, hours)]
+    assert own.missing("d", datetime(2000, 1, 1), datetime(2000, 1, 2)) == ["20000101.00-20000102.00"]
+
+
 def test_event_errors(spark):
     broken = spark.range(1).select(F.raise_error(F.lit("no")).alias("g1"))
     assert "event: servererror" in "".join(results.events(broken))
