@@ -21,9 +21,11 @@ are joined in bands of one distance by steps 1 to 3, longer ones by windows (ste
 6. Long lines: K edits leave one of K + 1 windows of a line untouched.  The windows' width is the same for all lines of
    a range of lengths, so the windows of the shorter line are looked for at every place of the longer one.  Of these
    places only those go on whose key is in a bitmap of all windows (if there are at most ``MAP_KEYS``), and pairs need
-   a shift and a difference of lengths within K.
+   a shift and a difference of lengths within K.  With ``percent`` step 4 uses the engine's bounded edit distance.
 
 Null text has no lines, an empty table gives an empty result.  Repeated rows are copies of their lines like any others.
+Rows are numbered once, in a written table, and told apart by that number: null ids come last, rows that share an id in
+the table's order.
 """
 
 from __future__ import annotations
@@ -170,14 +172,18 @@ class LineDedup:
             raise ValueError("the distance is at most 10 percent of the length, and k at least 1 then")
         self.k, self.min_chars, self.hot, self.percent = k, min_chars, hot, percent
         lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
+        self.docs = scratch.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "line-docs")
         self.lines = self._distinct()
         self.classes = self._classes()
 
     def _distinct(self) -> DataFrame:
-        """(id, line, doc, place, docs): each different line, with the first document that has it and its place there."""
-        each = self.docs.select("doc_id", F.posexplode(F.array_distinct("lines")).alias("place", "line"))
-        found = each.groupBy("line").agg(F.min("doc_id").alias("doc"), F.expr("min_by(place, doc_id)").alias("place"), F.count(F.lit(1)).alias("docs"))
+        """(id, line, doc, row, place, docs): each different line, with the first row that has it (doc is its rank) and its place there."""
+        # Id, then number of the row; a decimal can be aggregated by hash, a struct can't.
+        rank = F.coalesce(F.col("doc_id").cast("decimal(19,0)") * F.expr(f"CAST({10**18} AS DECIMAL(19,0))"), F.expr(f"CAST({93 * 10**35} AS DECIMAL(38,0))"))
+        ranked = self.docs.select("row", "lines", (rank.cast("decimal(38,0)") + F.col("row").cast("decimal(18,0)")).cast("decimal(38,0)").alias("doc"))
+        each = ranked.select("doc", "row", F.posexplode(F.array_distinct("lines")).alias("place", "line"))
+        found = each.groupBy("line").agg(F.min("doc").alias("doc"), F.expr("min_by(row, doc)").alias("row"), F.expr("min_by(place, doc)").alias("place"), F.count(F.lit(1)).alias("docs"))
         return scratch.materialize(found.withColumn("id", F.monotonically_increasing_id()), "lines")
 
     def _allowed(self, n: Column) -> Column:
@@ -310,7 +316,7 @@ class LineDedup:
         return short.filter(near).select("a", "b")
 
     def _classes(self) -> DataFrame:
-        """(id, doc, place, docs, class, kept): the class of each different line."""
+        """(id, doc, row, place, docs, class, kept): the class of each different line."""
         linked = connected_components(scratch.materialize(self.links(), "line-links"))
         rows = self.lines.drop("line").join(linked, self.lines["id"] == linked["node"], "left")
         rows = scratch.materialize(rows.withColumn("class", F.coalesce("component", "id")).drop("node", "component"), "line-classes")
@@ -321,15 +327,18 @@ class LineDedup:
 
     def counts(self) -> DataFrame:
         """One row per document: doc_id, n_lines, n_distinct, n_kept, n_near (lines given up for a near copy)."""
-        kept = self.classes.groupBy("doc").agg(
+        return self._counts().drop("row")
+
+    def _counts(self) -> DataFrame:
+        kept = self.classes.groupBy(F.col("row").alias("holder")).agg(
             F.sum(F.col("kept").cast("long")).alias("k"), F.sum((~F.col("kept")).cast("long")).alias("near"), F.sort_array(F.collect_list(F.when(F.col("kept"), F.col("place")))).alias("places")
         )
-        own = self.docs.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("lines")).cast("long").alias("n_distinct"))
-        return own.join(kept, own["doc_id"] == kept["doc"], "left").select(
-            "doc_id", "n_lines", "n_distinct", F.coalesce("k", F.lit(0)).alias("n_kept"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("places", F.array().cast("array<int>")).alias("kept_lines")
+        own = self.docs.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("lines")).cast("long").alias("n_distinct"))
+        return own.join(kept, own["row"] == kept["holder"], "left").select(
+            "row", "doc_id", "n_lines", "n_distinct", F.coalesce("k", F.lit(0)).alias("n_kept"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("places", F.array().cast("array<int>")).alias("kept_lines")
         )
 
     def texts(self) -> DataFrame:
         """(doc_id, text) of the kept lines in order; a document's kept lines are numbered among its different ones."""
-        rows = self.docs.select("doc_id", F.array_distinct("lines").alias("lines")).join(self.counts().select("doc_id", "kept_lines"), "doc_id")
+        rows = self.docs.select("row", "doc_id", F.array_distinct("lines").alias("lines")).join(self._counts().select("row", "kept_lines"), "row")
         return rows.select("doc_id", F.array_join(F.transform("kept_lines", lambda i: F.get("lines", i)), "\n").alias("text"))

@@ -57,13 +57,15 @@ def mix(
     share: float = 1.5,
     max_epochs: int = 2,
     seed: int = 42,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken; with ``row_col``, a number of the rows, that too."""
     spark = docs.sparkSession
     name = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f"|{seed}")))
+    numbered = [row_col] if row_col else []
     rows = scratch.materialize(
-        docs.select(F.col(id_col).alias("doc_id"), name.alias("skey"), word_count(F.col(text_col)).alias("size"), order.alias("ord")),
+        docs.select(F.col(id_col).alias("doc_id"), name.alias("skey"), word_count(F.col(text_col)).alias("size"), order.alias("ord"), *numbered),
         "mix-sizes",
     )
     sources = rows.groupBy("skey").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
@@ -78,7 +80,7 @@ def mix(
     slices = rows.groupBy("skey", F.substring("ord", 1, 3).alias("slice")).agg(F.sum("size").alias("held"))
     before = Window.partitionBy("skey").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("offset", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
-    inside = Window.partitionBy("skey", "slice").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "slice").orderBy("ord", "doc_id", "size", *numbered).rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
         rows.withColumn("slice", F.substring("ord", 1, 3))
@@ -88,26 +90,27 @@ def mix(
         .withColumn("whole", whole)
         .withColumn("extra", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + F.lit(0.5)).cast("long"))
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("offset") - F.col("start"))))
-        .select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), *numbered)
     )
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row once for each time the mix takes it; the last of a row's times may be its first words only.
 
-    Ids are taken to be unique; a row whose id is null is matched by its text and source.  Documents of no words are
-    taken whole as often as their source is.
+    Rows are numbered once, in a written table, and meet their plan by that number: ids may be null or repeated.
+    Documents of no words are taken whole as often as their source is.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).withColumn(
+    rows = scratch.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(rows, id_col, text_col, source_col, row_col="__row", **options).withColumn(
         "__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
     )
-    plan = plan.select(F.col("doc_id").alias("__id"), "size", "taken", "__epochs").dropDuplicates(["__id"])
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")).cast("int")).otherwise(F.col("__epochs"))
-    rest = F.when(F.col("size") > 0, F.col("taken") - whole * F.col("size")).otherwise(F.lit(0))
+    plan = plan.select(F.col("__row").alias("__planned"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), "__epochs")
+    whole = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size")).cast("int")).otherwise(F.col("__epochs"))
+    rest = F.when(F.col("__size") > 0, F.col("__taken") - whole * F.col("__size")).otherwise(F.lit(0))
     parts = F.filter(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.array(rest.cast("long"))), lambda x: x != 0)
     # The first n words, with the white space between them as it stands.
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + WHITE + "*"), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), "")
-    repeated = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).withColumn("__part", F.explode(parts))
+    repeated = rows.join(plan, rows["__row"] == plan["__planned"]).withColumn("__part", F.explode(parts))
     text = F.when(F.col("__part") < 0, F.col(text_col)).otherwise(head)
     return repeated.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -231,6 +231,17 @@ def test_lines_same_as_brute_force(spark, hot):
     assert {r["doc_id"]: r["text"] for r in own.texts().collect()}[43] == "short\nshorz"
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    texts = [(None, "only here\nshared"), (None, "also alone"), (5, "shared\nfive"), (5, "other five\nshared\nfive\nlast"), (-(2**63), "first"), (2**63 - 1, "first\nmost")]
+    own = line_dedup.LineDedup(docs_of(spark, texts))
+    assert sorted((r["n_lines"], r["n_kept"], r["doc_id"]) for r in own.counts().filter("doc_id is not null").collect() if r["doc_id"] != 5) == [(1, 1, -(2**63)), (2, 1, 2**63 - 1)]
+    got = {(r["doc_id"], r["text"]) for r in own.texts().collect()}
+    rest = {(None, "only here"), (None, "also alone"), (-(2**63), "first"), (2**63 - 1, "most")}
+    one = {(5, "shared\nfive"), (5, "other five\nlast")}
+    two = {(5, ""), (5, "other five\nshared\nfive\nlast")}
+    assert got in (rest | one, rest | two)
+
+
 def allowed(n):
     return max(min(2, n // 10), n * 5 // 100)
 

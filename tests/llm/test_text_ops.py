@@ -266,6 +266,20 @@ def test_repeated_rows_hold_the_taken_words(spark):
     assert all(words.get(i, 0) == n for i, n in taken.items())
 
 
+def test_repeated_rows_with_null_and_repeated_ids(spark):
+    texts = [(None, "a b c"), (None, "d " * 20), (None, "e f g h"), (7, "i j"), (7, "k " * 15), (7, "l"), (8, "m n o")]
+    docs = docs_of(spark, texts, ["s", "s", "s", "t", "t", "t", "t"])
+    rows = mixing.mix(docs).collect()
+    want = {s: round(next(r["target"] for r in rows if r["source_size"] == n)) for s, n in (("s", 27), ("t", 21))}
+    got, seen = {}, {}
+    for r in mixing.repeat_rows(docs).collect():
+        words = r["text"].split()
+        got[r["source"]] = got.get(r["source"], 0) + len(words)
+        seen[words[0]] = seen.get(words[0], 0) + len(words)
+    assert got == want and set(seen) == set("adeiklm")
+    assert all(seen[t.split()[0]] <= 2 * len(t.split()) for _, t in texts)
+
+
 # Quality.
 
 
