@@ -6,7 +6,7 @@
    splits by its next hash bit, up to ``depth_limit`` bits.  It is derived from a histogram of at most
    ``2 ** depth_limit`` cells, so neither histogram nor directory grows past 65,536 rows at the
    default; a bucket that stays overfull at that depth simply chains more pages.
-3. Owner tasks receive the entries of their share of (bucket, key) and compare bodies byte for byte.
+3. A hash shuffle groups the entries by (bucket, key, body), which compares bodies byte for byte; no task owns a bucket.
    Copies within a map task collapse before the shuffle, so a hot group costs one row per map task.
    Different bodies under one key form a chain and stay separate groups.
 4. Each entry looks its group up: by key alone where the chain has one body, by key and body elsewhere.
