@@ -4,23 +4,23 @@ The join is a sparse product of the document by n-gram incidence matrix with its
 blocks that can hold links and bounded by sizes:
 
 1. Equal sets collapse into classes; only the least id of a class goes on.
-2. Blocks.  Two sets that link differ in at most H n-grams, H following from their sizes.  The n-gram space is
-   cut into m > H parts; at least m - H parts then hold the same n-grams in both sets.  A set that occupies more
-   than H parts so shares an occupied part with every partner, and its parts' hashes are its keys.  Sets that occupy
-   fewer (m is chosen to make them rare) share one further key per size class; partners of such a set all have
-   it, or share an occupied part.  Sizes are cut into classes such that partners are in the same or in
-   neighbouring ones.
-3. A task keeps one row per key and ties its other rows to that one, so a key held by a third of all
-   documents costs one row per task; the shuffle by key ties the rest.  What hangs together is a block.
+2. Columns.  A set of s n-grams shares at least a = ceil(num s / den) with any partner.  Of each set the s - a + c
+   n-grams of the least hash are kept, c = ``EXTRA`` s: two partners have c of these in common, c that of the smaller.  A
+   column count (pre-aggregated in the map tasks) tells which are held twice; sets with fewer such columns than the c
+   of their smallest partner are out.  What is left of a passage that many documents share seldom suffices for that.
+3. Blocks.  A set with t shared columns of which c are due has one in common with each partner among its t - c + 1
+   rarest.  Sets are tied to the least set that has such a column; what hangs together is a block.
 4. Product.  The n-gram sets of a block meet in one task, which accumulates overlap counts column by
    column for one row of the matrix at a time, drops every pair below the bound that the sizes give, and links
    the rest.  Rows are visited breadth first and only unlinked columns stay in the product, so a block of near
-   copies costs about one row, not all pairs.  Blocks over ``block_ngrams`` are cut into pieces that share
-   ``PIVOTS`` rows; rows that are not in the block's main component afterwards are multiplied with all pieces.
+   copies costs about one row, not all pairs.  Blocks over ``block_ngrams`` (and over a ``SPREAD``-th of all n-grams in
+   blocks, if that is more than ``LEAST_NGRAMS``) are cut into pieces that share ``PIVOTS`` rows; rows that are not in the
+   block's main component afterwards are multiplied with all pieces.
 5. Components of the links, then of the documents through their classes.
 6. Counting links takes the whole product instead of step 4's part: all rows against all columns.  N-grams that most
-   rows of a block have are counted by the rows that lack them, so near copies stay cheap.  Blocks over
-   ``block_ngrams`` are cut into pieces and each two pieces meet in a task, so that each pair is counted once.
+   rows of a block have are counted by the rows that lack them, so near copies stay cheap.  The pieces of a large
+   block are written once, as files in the shared folder, and each two meet in a task that reads their files, so that
+   each pair is counted once and no set is shuffled for each task it takes part in.
 
 Null and empty texts have an empty set and link with nothing.  Texts of fewer than n words have one n-gram, the
 whole sequence.  Ids are taken to be unique; of rows that share an id each is classed by its own text.  A row
@@ -30,8 +30,8 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
-import bisect
-import math
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,46 +44,22 @@ from .components import connected_components
 from .words import U, mix, shingle_sets
 
 PIVOTS = 16
-BLOCK_NGRAMS = 3_000_000
-PART, CLASS, PAIR, FEW, SALT = (U(x) for x in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0x8CB92BA72F3D8DD7, 0x94D049BB133111EB))
+BLOCK_NGRAMS = 1_000_000
+SPREAD = 64
+LEAST_NGRAMS = 20_000
+EXTRA = 0.2
+SALT = U(0x94D049BB133111EB)
 HEAVY_SHARE = 1000
-RARE = 1e-6
-
-
-class SizeClasses:
-    """Size classes for sets that link when den * intersection >= num * union, and the parts of each pair of classes."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.bounds = [1, 2]
-
-    def _more(self) -> None:
-        last = self.bounds[-1]
-        self.bounds.append(max(last + 1, (last - 1) * self.den // self.num + 1))
-
-    def of(self, size: int) -> int:
-        while self.bounds[-1] <= size:
-            self._more()
-        return bisect.bisect_right(self.bounds, size) - 1
-
-    def parts(self, e: int) -> tuple[int, int]:
-        """(number of parts, H) for sets of classes e and e + 1; no parts if such sets link only when equal.
-
-        The number is the least that leaves a set with H occupied parts or fewer a chance below ``RARE``.
-        """
-        while len(self.bounds) <= e + 2:
-            self._more()
-        most, least = self.bounds[e + 2] - 1, self.bounds[e]
-        differ = (self.den - self.num) * 2 * most // (self.den + self.num)
-        if differ == 0:
-            return 0, 0
-        m = differ + 1
-        while m < 1 << 20:
-            ways = math.lgamma(m + 1) - math.lgamma(differ + 1) - math.lgamma(m - differ + 1)
-            if ways + least * math.log(differ / m) <= math.log(RARE):
-                break
-            m += 1 + m // 64
-        return m, differ
+
+
+def least_overlap(size: int, num: int, den: int) -> int:
+    """N-grams that a set of this size shares at least with a partner, and the size of its smallest partner."""
+    return -(-num * size // den)
+
+
+def due(size: int) -> int:
+    """Kept columns that two partners have in common if the smaller has this size."""
+    return max(1, size * int(100 * EXTRA) // 100)
 
 
 def set_marks(ngrams: np.ndarray) -> tuple[int, int]:
@@ -93,28 +69,6 @@ def set_marks(ngrams: np.ndarray) -> tuple[int, int]:
     return int(np.int64(first.astype(np.int64))), int(np.int64(second.astype(np.int64)))
 
 
-def part_keys(ngrams: np.ndarray, classes: SizeClasses, known: dict[int, tuple[int, int]]) -> list[np.ndarray]:
-    """Keys of a sorted set of n-gram hashes."""
-    own = classes.of(len(ngrams))
-    mixed, high = mix(ngrams ^ SALT), ngrams >> U(32)
-    out = []
-    for e in (own - 1, own):
-        if e < 0:
-            continue
-        if e not in known:
-            known[e] = classes.parts(e)
-        m, differ = known[e]
-        if not m:
-            continue
-        part = (high * U(m)) >> U(32)
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sums = np.add.reduceat(mixed, starts)
-        out.append(mix(sums + part[starts] * PART + U((e + 1) * int(CLASS) % (1 << 64))))
-        if len(starts) <= differ:
-            out.append(mix(np.array([e + 1], U) * FEW))
-    return out
-
-
 def numbers(column: str) -> Column:
     """One row for each of 0, 1, .. below the column's value."""
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(column).cast("long") - 1))
@@ -141,42 +95,23 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, mark1 long, mark2 long")
 
 
-def key_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id): rows of one key belong to one block.  A batch gives one row per key, and two per tie."""
+def column_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, doc_id): the n-grams of least hash of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, known = SizeClasses(num, den), {}
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            keys, owners, seen = [], [], set()
-            at = 0
             for part in _slices(batch):
+                keys, counts = [], []
                 for s in shingle_sets(_texts(part, 1), n):
-                    doc, at = ids[at], at + 1
-                    if doc is None or not len(s) or (mark := set_marks(s)) in seen:
-                        continue
-                    seen.add(mark)
-                    for k in part_keys(s, classes, known):
-                        keys.append(k)
-                        owners.append((doc, len(k)))
-            if not keys:
-                continue
-            key = np.concatenate(keys)
-            owner = np.repeat(np.array([d for d, _ in owners], np.int64), [c for _, c in owners])
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            head = owner[first][np.cumsum(first) - 1]
-            ties = np.unique(np.stack([head[~first], owner[~first]], axis=1), axis=0)
-            ties = ties[ties[:, 0] != ties[:, 1]]
-            tie = mix(ties[:, 0].view(U) * PAIR + mix(ties[:, 1].view(U))) if len(ties) else np.empty(0, U)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key[first], tie, tie]).astype(np.int64)),
-                    pa.array(np.concatenate([owner[first], ties[:, 0], ties[:, 1]])),
-                ],
-                names=["key", "doc_id"],
-            )
+                    size = len(s)
+                    kept = min(size, size - least_overlap(size, num, den) + due(size)) if size else 0
+                    # The shingles' hashes are sorted already.
+                    keys.append(s[:kept])
+                    counts.append(kept)
+                owners = np.repeat(np.arange(part.num_rows), counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64)), part.column(0).take(pa.array(owners))], names=["key", "doc_id"]
+                )
 
     return docs.mapInArrow(run, "key long, doc_id long")
 
@@ -329,6 +264,64 @@ def block_links(rows: DataFrame, n: int, num: int, den: int, counted: bool = Fal
     return ordered.mapInArrow(run, "a long, b long, n long")
 
 
+def piece_files(rows: DataFrame, n: int, directory: str) -> DataFrame:
+    """(block, piece, path): the sets of each piece of (block, piece, doc_id, text), written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
+        for batch in batches:
+            for part in _slices(batch, 500):
+                places = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                for place, doc, s in zip(places, part.column(2).to_pylist(), shingle_sets(_texts(part, 3), n)):
+                    if place != at:
+                        yield from written(at, ids, sets)
+                        at, ids, sets = place, [], []
+                    ids.append(doc)
+                    sets.append(s)
+        yield from written(at, ids, sets)
+
+    def written(at: tuple[int, int] | None, ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if at is None:
+            return
+        path = f"{directory}/{uuid.uuid4().hex}.npz"
+        packed = io.BytesIO()
+        np.savez(packed, ids=np.array(ids, np.int64), sizes=np.array([len(s) for s in sets]), flat=np.concatenate(sets))
+        fs, inner = scratch.filesystem(path)
+        fs.create_dir(scratch.filesystem(directory)[1], recursive=True)
+        with fs.open_output_stream(inner) as f:
+            f.write(packed.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([path])], names=["block", "piece", "path"])
+
+    dealt = rows.select("block", "piece", "doc_id", "text").repartition("block", "piece").sortWithinPartitions("block", "piece", "doc_id")
+    return dealt.mapInArrow(run, "block long, piece int, path string")
+
+
+def pair_links(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links and their numbers, as ``block_links`` gives them, between two files of sets or (no second) within one."""
+
+    def read(path: str) -> tuple[list[int], list[np.ndarray]]:
+        fs, inner = scratch.filesystem(path)
+        with fs.open_input_stream(inner) as f:
+            held = np.load(io.BytesIO(f.read()))
+        return held["ids"].tolist(), np.split(held["flat"], np.cumsum(held["sizes"])[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, second in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, sets = read(first)
+                sides = [-1] * len(ids)
+                if second is not None:
+                    more, others = read(second)
+                    sides = [0] * len(ids) + [1] * len(more)
+                    ids, sets = ids + more, sets + others
+                links, counts = product_counts(ids, sets, num, den, sides)
+                out = [(a, b, None) for a, b in links] + [(a, None, c) for a, c in counts]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "n"])
+
+    return pairs.mapInArrow(run, "a long, b long, n long")
+
+
 class NgramJoin:
     """Links of documents with den * intersection >= num * union of their n-word shingle sets."""
 
@@ -361,47 +354,62 @@ class NgramJoin:
 
     def _blocks(self) -> DataFrame:
         """(doc_id, block, weight) of class representatives that share a block with others."""
-        least = F.min("doc_id").over(Window.partitionBy("key"))
-        ties = (
-            key_table(self.texts, self.n, self.num, self.den)
-            .withColumn("head", least)
-            .filter("doc_id != head")
-            .select("head", "doc_id")
-            .distinct()
+        sizes = self.classes.filter("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("weight"))
+        sizes = scratch.materialize(sizes, "ngram-sizes")
+        chosen = self.texts.join(scratch.sized(sizes.select("doc_id")), "doc_id", "left_semi")
+        columns = column_table(chosen, self.n, self.num, self.den)
+        held = columns.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+        shared = columns.join(held.hint("shuffle_hash"), "key")
+        # The c of the smallest partner.
+        least = F.expr(f"greatest(1L, (weight * {self.num} + {self.den - 1}) div {self.den} * {int(100 * EXTRA)} div 100)")
+        rank = Window.partitionBy("doc_id").orderBy("held", "key")
+        every = Window.partitionBy("doc_id")
+        ranked = (
+            shared.join(sizes, "doc_id")
+            .withColumn("rank", F.row_number().over(rank))
+            .withColumn("spare", F.count(F.lit(1)).over(every) - least)
+            .filter(F.col("rank") <= F.col("spare") + 1)
         )
-        reps = self.classes.filter("doc_id is not null").select("doc_id", "rep").distinct()
-        edges = (
-            ties.join(reps, "doc_id")
-            .select("head", F.col("rep").alias("b"))
-            .join(reps.withColumnRenamed("doc_id", "head"), "head")
-            .select(F.col("rep").alias("a"), "b")
-        )
-        blocks = connected_components(edges)
-        sizes = self.classes.filter("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("weight"))
+        ranked = scratch.materialize(ranked.select("key", "doc_id"), "ngram-columns")
+        heads = ranked.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head <> last").drop("last")
+        ties = ranked.join(heads, "key").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+        blocks = connected_components(ties)
         return scratch.materialize(
-            blocks.join(sizes, blocks["node"] == sizes["rep"]).select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "weight"),
+            blocks.join(sizes, blocks["node"] == sizes["doc_id"]).select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "weight"),
             "ngram-blocks",
         )
 
+    def _limit(self, blocks: DataFrame) -> int:
+        """N-grams that may meet in one task."""
+        total = blocks.agg(F.sum("weight").alias("t")).collect()[0]["t"] or 0
+        return min(self.block_ngrams, max(LEAST_NGRAMS, total // SPREAD))
+
     def _whole_product(self) -> DataFrame:
         """(a, b, null): links that span the components; (a, null, n): parts of the number of a's links."""
         blocks = self._blocks()
+        limit = self._limit(blocks)
         weights = blocks.groupBy("block").agg(F.sum("weight").alias("total"))
         # Two pieces meet in a task.
-        pieces = F.when(F.col("total") > self.block_ngrams, F.ceil(2 * F.col("total") / self.block_ngrams)).otherwise(1).cast("int")
+        pieces = F.when(F.col("total") > limit, F.ceil(2 * F.col("total") / limit)).otherwise(1).cast("int")
         large = scratch.materialize(weights.withColumn("pieces", pieces).filter("pieces > 1"), "ngram-large")
         tasks = blocks.join(large.select("block"), "block", "left_anti").select(F.xxhash64("block").alias("task"), "doc_id", F.lit(-1).cast("long").alias("known"))
+        found = self._tasks(tasks, True)
         if not large.isEmpty():
-            own = blocks.join(large, "block").withColumn("own", F.pmod(F.xxhash64("doc_id"), "pieces")).withColumn("other", numbers("pieces"))
-            task = F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other"))
-            side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own").cast("long"))
-            tasks = tasks.unionByName(own.select(task.alias("task"), "doc_id", side.alias("known")))
-        return scratch.materialize(self._tasks(tasks, True), "ngram-product")
+            own = blocks.join(large, "block").select("block", F.pmod(F.xxhash64("doc_id"), "pieces").cast("int").alias("piece"), "doc_id")
+            wanted = self.texts.join(scratch.sized(scratch.materialize(own, "ngram-pieces")), "doc_id")
+            files = scratch.materialize(piece_files(wanted, self.n, scratch.new_path(blocks.sparkSession, "ngram-files")), "ngram-manifest")
+            one, other = files.toDF("block", "i", "first"), files.toDF("block", "j", "second")
+            pairs = one.join(other, "block").filter("i <= j").select("first", F.when(F.col("i") < F.col("j"), F.col("second")).alias("second"))
+            pairs = scratch.materialize(pairs, "ngram-pairs")
+            dealt = pairs.repartition(F.xxhash64("first", "second"))
+            found = found.unionByName(pair_links(dealt, self.num, self.den))
+        return scratch.materialize(found, "ngram-product")
 
     def _links(self) -> DataFrame:
         blocks = self._blocks()
-        weights = blocks.groupBy("block").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
-        weights = weights.withColumn("pieces", F.ceil(F.col("total") / self.block_ngrams).cast("int"))
+        limit = self._limit(blocks)
+        weights = blocks.groupBy("block").agg(F.sum("weight").alias("total"))
+        weights = weights.withColumn("pieces", F.ceil(F.col("total") / limit).cast("int"))
         large = scratch.materialize(weights.filter("pieces > 1"), "ngram-large")
         small = blocks.join(large.select("block"), "block", "left_anti").select(
             F.xxhash64("block").alias("task"), "doc_id", F.col("doc_id").alias("known")
@@ -416,10 +424,10 @@ class NgramJoin:
         )
         pieces = spread.distinct().select(F.xxhash64("block", "piece").alias("task"), "doc_id", F.col("doc_id").alias("known"))
         first = scratch.materialize(self._product(small.unionByName(pieces)), "ngram-links")
-        rest = self._cross(own, first)
+        rest = self._cross(own, first, limit)
         return first if rest is None else scratch.materialize(first.unionByName(self._product(rest)), "ngram-links")
 
-    def _cross(self, own: DataFrame, first: DataFrame) -> DataFrame | None:
+    def _cross(self, own: DataFrame, first: DataFrame, limit: int) -> DataFrame | None:
         """Tasks for the rows of large blocks outside the block's main component, each with all pieces."""
         found = connected_components(first)
         known = own.join(found, own["doc_id"] == found["node"], "left").select(
@@ -432,7 +440,7 @@ class NgramJoin:
         outside = scratch.materialize(known.filter("known != main"), "ngram-outside")
         if outside.isEmpty():
             return None
-        shares = outside.groupBy("block").agg(F.ceil(F.sum("weight") / self.block_ngrams).cast("int").alias("shares"))
+        shares = outside.groupBy("block").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("shares"))
         task = F.xxhash64("block", "share", "piece")
         left = outside.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), "shares")).withColumn("piece", numbers("pieces"))
         right = known.join(shares, "block").withColumn("piece", F.pmod(F.xxhash64("doc_id"), "pieces")).withColumn("share", numbers("shares"))

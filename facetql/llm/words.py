@@ -1,12 +1,13 @@
 """Words and word shingles of a batch of texts, as 64-bit hashes computed on whole byte buffers.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased; the hash of a word is a
-polynomial over a random value per byte, mixed at the end.  Two words or shingles that differ get the same
-64-bit hash with probability about 2**-64.
+polynomial over a random value per byte, mixed at the end.  Words over ``LONG`` bytes are hashed by BLAKE2 instead:
+modulo 2**64 all polynomials agree on some pairs of long words of two letters.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import numpy as np
 U = np.uint64
 BASE, BASE_INV = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 BUFFER = 1 << 20
+LONG = 64
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -65,6 +67,9 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums[0] = 0
     np.cumsum(VALUES[buf] * _power(BASE, len(buf)), out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * _power(BASE_INV, len(buf))[starts] + (ends - starts).astype(U))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        word = buf[starts[i] : ends[i]].tobytes().lower()
+        words[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     return words, np.searchsorted(starts, offsets)
 

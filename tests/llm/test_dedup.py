@@ -152,12 +152,42 @@ def test_null_and_repeated_ids(spark):
     assert got == [(3, 3), (4, 4), (4, 4), (None, 3), (None, None)]
 
 
-def test_size_classes_cover_partners():
+def test_bounds_hold_for_every_pair_of_sizes():
     for num in (50, 80, 90):
-        classes = ngram_join.SizeClasses(num, 100)
-        for a in range(1, 400):
+        for a in range(1, 300):
             for b in range(a, a * 100 // num + 1):
-                assert classes.of(b) - classes.of(a) in (0, 1)
+                overlap = -(-num * (a + b) // (100 + num))
+                assert overlap >= ngram_join.least_overlap(b, num, 100) >= ngram_join.least_overlap(a, num, 100)
+                both = min(ngram_join.due(a), ngram_join.due(b))
+                assert overlap >= both >= max(ngram_join.due(ngram_join.least_overlap(x, num, 100)) for x in (a, b))
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_small_pieces(spark, monkeypatch, counted):
+    monkeypatch.setattr(ngram_join, "LEAST_NGRAMS", 300)
+    rnd = random.Random(9)
+    texts = family(rnd, 50, 60, 6) + family(rnd, 30, 40, 30) + family(rnd, 12, 90, 2)
+    rows = ngram_join.NgramJoin(docs_of(spark, texts, partitions=3), 3, 60, 100, counted=counted).components().collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == brute_components(texts, 3, 60, 100)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    texts = [" ".join(f"w{i}" for i in range(60_000)), " ".join(f"w{i}" for i in range(59_990)), "a " * 50_000]
+    names = ("key", "held", "rank", "block", "weight", "rep", "node", "component", "mark1", "a", "b", "n")
+    docs = docs_of(spark, texts).withColumns({c: F.lit("x") for c in names})
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.NgramJoin(docs).components().collect()) == [(0, 0), (1, 0), (2, 2)]
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+def test_long_words_of_two_letters_differ():
+    one = "a"
+    while len(one) < 4096:
+        one += one.translate(str.maketrans("ab", "ba"))
+    for n in (64, 65, 1024, 2048, 4096):
+        pair = [one[:n].encode(), one[:n].translate(str.maketrans("ab", "ba")).encode()]
+        hashes, _ = words.hashed([*pair, pair[0].upper()])
+        assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
 
 
 def test_word_hashes():
