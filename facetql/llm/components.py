@@ -36,6 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             current.select(F.col("m").alias("u"), F.col("v").alias("w"))
         )
         least = both.groupBy("u").agg(F.min("w").alias("lw")).select("u", F.least("u", "lw").alias("least"))
+        # Dealt anew before the join: a hub's rows can then be split, which they can't where the aggregate stands below the join.
+        least = least.hint("rebalance")
         large = both.filter("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("least").alias("m"))
         large = large.filter("v != m").distinct()
         lower = large.groupBy("v").agg(F.min("m").alias("lm"))
