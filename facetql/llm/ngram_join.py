@@ -372,7 +372,8 @@ class NgramJoin:
         )
         ranked = scratch.materialize(ranked.select("key", "doc_id"), "ngram-columns")
         heads = ranked.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head <> last").drop("last")
-        ties = ranked.join(heads, "key").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+        # Dealt anew, so that a hot key's rows can be split in the join.
+        ties = ranked.join(heads.hint("rebalance"), "key").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
         blocks = connected_components(ties)
         return scratch.materialize(
             blocks.join(sizes, blocks["node"] == sizes["doc_id"]).select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "weight"),
@@ -401,7 +402,8 @@ class NgramJoin:
             one, other = files.toDF("block", "i", "first"), files.toDF("block", "j", "second")
             pairs = one.join(other, "block").filter("i <= j").select("first", F.when(F.col("i") < F.col("j"), F.col("second")).alias("second"))
             pairs = scratch.materialize(pairs, "ngram-pairs")
-            dealt = pairs.repartition(F.xxhash64("first", "second"))
+            # The rows are names of files: by their size alone they would all go to one task.
+            dealt = pairs.repartition(max(1, pairs.count() // 4))
             found = found.unionByName(pair_links(dealt, self.num, self.den))
         return scratch.materialize(found, "ngram-product")
 
