@@ -1,31 +1,26 @@
 """Line dedup by a segment-partition edit join (DataFrame functions only).
 
-Lines are what newlines separate.  Blank lines are left alone.  Equal lines collapse first.  Two different lines of
-at least ``min_chars`` characters link when their edit distance is at most ``k``; a class is what links connect.  Of a
-class one line stays: that of the smallest document id, there the first one.
-
-With ``percent`` the distance follows the length n of the shorter line: one edit in ten characters up to ``k`` (below
-ten characters only equal lines match), and ``percent`` of n where that is more.  Lines whose distance is ``k`` at most
-are joined in bands of one distance by steps 1 to 3, longer ones by windows (step 6).
+Lines are what newlines separate.  Blank lines (white space only) are left alone.  Equal lines collapse first.  Two
+different lines link when their edit distance is at most one in ten symbols of the shorter one, and at most ``k``; a class
+is what links connect.  Symbols are words (what single spaces separate) if both lines have ``MIN_WORDS`` or more, else
+characters: a replaced word is one edit in a sentence, a replaced letter is one in a heading.  Of a class one line stays:
+that of the smallest document id, there the first one.
 
 1. Index: a line of length l is cut into k + 1 segments as even as possible; each is a key with l and its number.
    k edits leave one segment untouched.
-2. Probe: for each length from l - k to l, and each segment, the substrings that can equal it: those whose shift is
+2. Probe: for each length from l - k to l, and each segment, the parts that can equal it: those whose shift is
    explained by fewer edits to the left than segments lie there, and likewise to the right.
-3. Candidates share a key, and then pass a count filter: 16 classes of characters, of which 2k counts at most can
+3. Candidates share a key, and then pass a count filter: 16 classes of symbols, of which 2k counts at most can
    differ.  Keys shared by more than ``HOT`` lines are made finer by the counts themselves: of 2k + 1 groups of classes
    one must agree.
-4. Verification: what two lines have in common at both ends is taken off, then banded bit-parallel edit distance.  The band's 2k + 1 cells of a column are bits of one number; a
-   column costs a few word operations.  It runs as an ``aggregate`` over the characters.
+4. Verification: banded bit-parallel edit distance; of characters, what two lines have in common at both ends is taken
+   off first.  The band's 2k + 1 cells of a column are bits of one number; a column costs a few word operations.  It runs
+   as an ``aggregate`` over the symbols.
 5. Components of the links (see ``components``).
-6. Long lines: K edits leave one of K + 1 windows of a line untouched.  The windows' width is the same for all lines of
-   a range of lengths, so the windows of the shorter line are looked for at every place of the longer one.  Of these
-   places only those go on whose key is in a bitmap of all windows (if there are at most ``MAP_KEYS``), and pairs need
-   a shift and a difference of lengths within K.  With ``percent`` step 4 uses the engine's bounded edit distance.
-
-Null text has no lines, an empty table gives an empty result.  Repeated rows are copies of their lines like any others.
-Rows are numbered once, in a written table, and told apart by that number: null ids come last, rows that share an id in
-the table's order.
+
+Documents are told apart by id and text.  Rows equal in both are one document: the first of them has its counts, the
+others keep nothing, and ``texts`` has it once.  Null ids come last in the order of documents; among equal ids the text's
+hash decides.  Null and empty texts have no lines, an empty table gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +33,9 @@ from .components import connected_components
 
 HOT = 8
 CLASSES = 16
-CHUNK = 128
-MAP_KEYS = 1 << 25
-MAP_WORDS = 512
+MIN_WORDS = 10
+PER_EDIT = 10
+BLANK = " \t\r\f\x0b"
 
 
 def segments(length: Column, k: int) -> list[tuple[Column, Column]]:
@@ -55,37 +50,45 @@ def segments(length: Column, k: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def index_keys(line: Column, length: Column, k: int) -> list[Column]:
-    return [F.xxhash64(length, F.lit(i), F.substring(line, p, n)) for i, (p, n) in enumerate(segments(length, k))]
+def index_keys(part, length: Column, k: int) -> list[Column]:
+    """``part(start, n)`` gives a part of the line, start counted from 1."""
+    return [F.xxhash64(length, F.lit(i), part(p, n)) for i, (p, n) in enumerate(segments(length, k))]
 
 
-def probe_keys(line: Column, length: Column, k: int) -> list[Column]:
+def probe_keys(part, length: Column, k: int) -> list[Column]:
     """Keys of what can equal a segment of a line of the same length or up to k less."""
     out = []
     for d in range(k + 1):
         own = length - d
         for i, (p, n) in enumerate(segments(own, k)):
             low, high = max(-i, d - (k - i)), min(i, d + (k - i))
-            out += [F.xxhash64(own, F.lit(i), F.substring(line, p + F.lit(s), n)) for s in range(low, high + 1)]
+            out += [F.xxhash64(own, F.lit(i), part(p + F.lit(s), n)) for s in range(low, high + 1)]
     return out
 
 
-def class_counts(line: Column) -> list[Column]:
-    """Two numbers of eight bytes: how often characters of each class occur, modulo 256."""
-    groups = ["eE", "aAàáâãäå", "iIìíîï", "oOòóôõö", "uUùúûü", "nN", "rR", "sSß", "tT", "hHdD", "lLcC", "mMfFpP", "gGwWyYbB", "vVkKxXjJqQzZ", " .,", "0123456789"]
-
-    def count(signs: str) -> Column:
-        return (F.length(line) - F.length(F.translate(line, signs, ""))).cast("long") % 256
-
+def _packed(counts: list[Column]) -> list[Column]:
+    """Two numbers of eight bytes each: counts modulo 256."""
     packed = []
-    for half in (groups[:8], groups[8:]):
-        total = count(half[0])
-        for i, signs in enumerate(half[1:], 1):
-            total = total.bitwiseOR(F.shiftleft(count(signs), 8 * i))
+    for half in (counts[:8], counts[8:]):
+        total = half[0] % 256
+        for i, c in enumerate(half[1:], 1):
+            total = total.bitwiseOR(F.shiftleft(c % 256, 8 * i))
         packed.append(total)
     return packed
 
 
+def char_counts(line: Column) -> list[Column]:
+    """How often characters of each class occur."""
+    groups = ["eE", "aAàáâãäåoOòóôõö", "iIìíîïuUùúûü", "nN", "rR", "sSßtT", "hHdDlLcC", "mMfFpPgGwWyYbBvVkKxXjJqQzZ .,", *"01234567"]
+    return _packed([(F.length(line) - F.length(F.translate(line, signs, ""))).cast("long") for signs in groups])
+
+
+def word_counts(words: Column) -> list[Column]:
+    """How often words of each class occur; a word's class is its hash modulo 16."""
+    classes = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(CLASSES - 1)))
+    return _packed([F.size(F.filter(classes, lambda x: x == i)).cast("long") for i in range(CLASSES)])  # noqa: B023  used at once
+
+
 def count_gap(a: list[Column], b: list[Column]) -> Column:
     """A lower bound of the sum of count differences."""
     total = F.lit(0).cast("long")
@@ -98,10 +101,10 @@ def count_gap(a: list[Column], b: list[Column]) -> Column:
 
 
 def banded_distance(a: Column, b: Column, k: int) -> Column:
-    """Edit distance of a and b (not shorter than b, by k at most) if it is at most k, else k + 1."""
+    """Edit distance of arrays a and b (not shorter than b, by k at most) if it is at most k, else k + 1."""
     width = 2 * k + 1
     full = (1 << width) - 1
-    long_, short, m, n = F.split(a, ""), F.split(b, ""), F.length(a), F.length(b)
+    long_, short, m, n = a, b, F.size(a), F.size(b)
     bits = lambda x: F.lit(x).cast("long")
     none = F.lit(None).cast("string")
     # For each column the cells of the band whose characters match: one comparison of the arrays for each of its diagonals.
@@ -158,128 +161,71 @@ def trimmed(a: Column, b: Column) -> Column:
     )
 
 
-def window_ranges(first: int, percent: int) -> list[tuple[int, int | None, int]]:
-    """(from, below, width): lines of these lengths have room for a window more than ``percent`` of their characters."""
-    bounds = [first, 2 * first, 20 * first // 3, None]
-    return [(low, high, low * 100 // (low * percent + 100)) for low, high in zip(bounds, bounds[1:])]
+def chars(line: Column) -> Column:
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, ""))
+
+
+def words(line: Column) -> Column:
+    return F.split(line, " ")
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, k: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, percent: int = 0):
-        if min_chars <= k:
-            raise ValueError("lines of the edit join must be longer than the distance")
-        if not 0 <= percent <= 10 or (percent and k < 1):
-            raise ValueError("the distance is at most 10 percent of the length, and k at least 1 then")
-        self.k, self.min_chars, self.hot, self.percent = k, min_chars, hot, percent
-        lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
-        self.docs = scratch.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "line-docs")
+    def __init__(self, docs: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, min_words: int = MIN_WORDS):
+        if not 1 <= k <= 8 or min_words < PER_EDIT:
+            raise ValueError("the distance is 1 to 8, and lines compared by words have ten at least")
+        self.k, self.hot, self.min_words = k, hot, min_words
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        mark = F.pmod(F.xxhash64(text), F.lit(10**18))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), mark.cast("decimal(18,0)").alias("mark"))
+        # Id, then the text's hash; a decimal can be aggregated by hash, a struct can't.
+        rank = F.coalesce(F.col("doc_id").cast("decimal(19,0)") * F.expr(f"CAST({10**18} AS DECIMAL(19,0))"), F.expr(f"CAST({93 * 10**35} AS DECIMAL(38,0))"))
+        self.docs = rows.select("doc_id", F.split("text", "\n").alias("all"), (rank.cast("decimal(38,0)") + F.col("mark")).cast("decimal(38,0)").alias("doc"))
+        self.docs = self.docs.withColumn("lines", F.filter("all", lambda x: F.btrim(x, F.lit(BLANK)) != ""))
         self.lines = self._distinct()
         self.classes = self._classes()
 
     def _distinct(self) -> DataFrame:
-        """(id, line, doc, row, place, docs): each different line, with the first row that has it (doc is its rank) and its place there."""
-        # Id, then number of the row; a decimal can be aggregated by hash, a struct can't.
-        rank = F.coalesce(F.col("doc_id").cast("decimal(19,0)") * F.expr(f"CAST({10**18} AS DECIMAL(19,0))"), F.expr(f"CAST({93 * 10**35} AS DECIMAL(38,0))"))
-        ranked = self.docs.select("row", "lines", (rank.cast("decimal(38,0)") + F.col("row").cast("decimal(18,0)")).cast("decimal(38,0)").alias("doc"))
-        each = ranked.select("doc", "row", F.posexplode(F.array_distinct("lines")).alias("place", "line"))
-        found = each.groupBy("line").agg(F.min("doc").alias("doc"), F.expr("min_by(row, doc)").alias("row"), F.expr("min_by(place, doc)").alias("place"), F.count(F.lit(1)).alias("docs"))
-        return scratch.materialize(found.withColumn("id", F.monotonically_increasing_id()), "lines")
-
-    def _allowed(self, n: Column) -> Column:
-        """The distance up to which a line of length n links with one that is not shorter."""
-        if not self.percent:
-            return F.lit(self.k)
-        return F.greatest(F.least(F.lit(self.k), F.floor(n / 10)), F.floor(n * self.percent / 100)).cast("int")
+        """(id, line, n_words, doc, place): each different line, with the first document that has it and its place there."""
+        each = self.docs.select("doc", F.posexplode(F.array_distinct("lines")).alias("place", "line"))
+        found = each.groupBy("line").agg(F.min("doc").alias("doc"), F.expr("min_by(place, doc)").alias("place"))
+        return scratch.materialize(found.withColumn("id", F.monotonically_increasing_id()).withColumn("n_words", F.size(words(F.col("line")))), "lines")
 
     def _candidates(self) -> DataFrame:
         """Pairs (a, b) that share a key; a is the probe, not shorter than b."""
-        if not self.percent:
-            return self._band(self.k, self.min_chars, None).distinct()
-        # From this length on the percentage is more than k.
-        long_ = max(-(-100 * (self.k + 1) // self.percent), self.min_chars)
-        found = self._long(long_)
-        for k in range(1, self.k + 1):
-            low, high = max(10 * k, self.min_chars), 10 * (k + 1) - 1 if k < self.k else long_ - 1
-            if low <= high:
-                found = found.unionByName(self._band(k, low, high))
+        few = self.lines.filter(F.col("n_words") < self.min_words + self.k).withColumn("sign", F.col("line"))
+        few = few.select("id", "sign", F.length("line").cast("int").alias("n"), (F.col("n_words") < self.min_words).alias("short"))
+        many = self.lines.filter(F.col("n_words") >= self.min_words)
+        many = many.select("id", words(F.col("line")).alias("sign"), F.col("n_words").alias("n"), F.lit(True).alias("short"))
+        found = None
+        for rows, part in ((few, lambda p, n: F.call_function("substring", F.col("sign"), p, n)), (many, lambda p, n: F.slice("sign", p, n))):
+            for k in range(1, self.k + 1):
+                own = self._band(rows, part, rows is many, k, PER_EDIT * k, PER_EDIT * (k + 1) - 1 if k < self.k else None)
+                found = own if found is None else found.unionByName(own)
         return found.distinct()
 
-    def _band(self, k: int, low: int, high: int | None) -> DataFrame:
+    def _band(self, rows: DataFrame, part, by_words: bool, k: int, low: int, high: int | None) -> DataFrame:
         """Pairs of which the shorter line has a length from low to high."""
-        length = F.length("line").cast("int")
-        rows = self.lines.filter(length >= low).select("id", "line", length.alias("n"))
-        shorter, longer = (rows, rows) if high is None else (rows.filter(F.col("n") <= high), rows.filter(F.col("n") <= high + k))
-        index = shorter.select("id", "n", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), k))).alias("key"))
-        probe = longer.select("id", "n", F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"), F.col("n"), k)))).alias("key"))
+        n = F.col("n")
+        within = lambda most: F.lit(True) if high is None else n <= most
+        # Of two lines compared by characters one has few words, be it the shorter or the longer one.
+        index = rows.filter((n >= low) & within(high)).select("id", "n", "short", F.explode(F.array(*index_keys(part, n, k))).alias("key"))
+        probe = rows.filter((n >= low) & within(high + k if high else 0)).select("id", "n", "short", F.explode(F.array_distinct(F.array(*probe_keys(part, n, k)))).alias("key"))
+        index = scratch.materialize(index, "line-index")
         crowded = scratch.materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > self.hot).select("key"), "line-hot")
         if crowded.isEmpty():
             return self._pairs(probe, index)
         crowded = scratch.sized(crowded)
         calm = [t.join(crowded, "key", "left_anti") for t in (probe, index)]
         close = [scratch.materialize(t.join(crowded, "key", "left_semi"), "line-crowd") for t in (probe, index)]
-        counts = self._texts(close[0].unionByName(close[1]).select("id")).drop("line")
+        counts = self._texts(close[0].select("id").unionByName(close[1].select("id")), by_words).drop("line")
         finer = [t.join(counts, "id").withColumn("key", F.explode(F.array(*self._finer(k)))) for t in close]
         return self._pairs(*calm).unionByName(self._pairs(*finer, counted=k))
 
-    def _long(self, first: int) -> DataFrame:
-        """Pairs of which the shorter line has at least ``first`` characters, by windows."""
-        n = F.length("line").cast("int")
-        rows = self.lines.filter(n >= first).select("id", "line", n.alias("n"), self._allowed(n).alias("most"))
-        index = probe = None
-        for low, high, width in window_ranges(first, self.percent):
-            shorter, longer = rows.filter(F.col("n") >= low), rows.filter(F.col("n") >= low)
-            if high is not None:
-                shorter, longer = shorter.filter(F.col("n") < high), longer.filter(F.col("n") < high + high * self.percent // 100)
-            windows = shorter.select("id", "n", "most", "line", F.explode(F.sequence(F.lit(1), F.col("most") * width + 1, F.lit(width))).alias("at"))
-            windows = windows.select("id", "n", "most", "at", F.xxhash64(F.lit(width), F.expr(f"substring(line, at, {width})")).alias("key"))
-            # Chunks first: the way to a place in a string grows with the place.
-            chunks = longer.select("id", "n", "line", F.explode(F.sequence(F.lit(0), F.col("n") - width, F.lit(CHUNK))).alias("from"))
-            chunks = chunks.select("id", "n", "from", F.expr(f"substring(line, from + 1, {CHUNK + width - 1})").alias("part"))
-            places = chunks.select("id", "n", "from", "part", F.explode(F.sequence(F.lit(1), F.length("part") - width + 1)).alias("p"))
-            places = places.select("id", "n", (F.col("from") + F.col("p")).alias("at"), F.xxhash64(F.lit(width), F.expr(f"substring(part, p, {width})")).alias("key"))
-            index = windows if index is None else index.unionByName(windows)
-            probe = places if probe is None else probe.unionByName(places)
-        index = scratch.materialize(index, "line-windows")
-        held = index.count()
-        if not held:
-            return index.select(F.col("id").alias("a"), F.col("id").alias("b"))
-        if held <= MAP_KEYS:
-            probe = self._mapped(probe, index, held)
-        probe = scratch.materialize(probe, "line-places")
-        crowded = scratch.materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > self.hot).select("key"), "line-hot")
-        if crowded.isEmpty():
-            return self._pairs(probe, index, shifted=True)
-        crowded = scratch.sized(crowded)
-        calm = [t.join(crowded, "key", "left_anti") for t in (probe, index)]
-        close = [t.join(crowded, "key", "left_semi") for t in (probe, index)]
-        counts = self._texts(close[0].select("id").unionByName(close[1].select("id"))).drop("line")
-        close = [t.join(counts, "id") for t in close]
-        return self._pairs(*calm, shifted=True).unionByName(self._pairs(*close, counted="most", shifted=True))
-
-    def _mapped(self, probe: DataFrame, index: DataFrame, held: int) -> DataFrame:
-        """The places whose key has its three bits set in a bitmap of the windows' keys; it has 16 bits or more a key."""
-        words = MAP_WORDS
-        while words * 64 < 16 * held:
-            words *= 2
-        word, one = F.col("key").bitwiseAND(F.lit(words - 1)), F.lit(1).cast("long")
-        bits = None
-        for by in (46, 52, 58):
-            bit = F.call_function("shiftleft", one, F.shiftrightunsigned("key", by).bitwiseAND(F.lit(63)).cast("int"))
-            bits = bit if bits is None else bits.bitwiseOR(bit)
-        ones = index.select(word.alias("word"), bits.alias("bits"))
-        every = probe.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-        found = ones.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-        cells = found.groupBy(F.shiftright("word", 9).alias("cell")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("c"))
-        cells = scratch.materialize(cells.select("cell", F.col("c.bits").alias("map")), "line-map")
-        looked = probe.join(F.broadcast(cells), F.shiftright(word, 9) == F.col("cell"))
-        mine = F.get("map", word.bitwiseAND(F.lit(MAP_WORDS - 1)).cast("int"))
-        return looked.filter(mine.bitwiseAND(bits) == bits).select(*probe.columns)
-
-    def _texts(self, ids: DataFrame) -> DataFrame:
+    def _texts(self, ids: DataFrame, by_words: bool) -> DataFrame:
         """(id, line, c1, c2) of the lines asked for."""
-        first, second = class_counts(F.col("line"))
-        found = self.lines.select("id", "line").join(ids.distinct(), "id", "left_semi")
+        first, second = word_counts(words(F.col("line"))) if by_words else char_counts(F.col("line"))
+        wanted = scratch.sized(scratch.materialize(ids.distinct(), "line-ids"))
+        found = self.lines.select("id", "line").join(wanted, "id", "left_semi")
         return scratch.materialize(found.select("id", "line", first.alias("c1"), second.alias("c2")), "line-texts")
 
     @staticmethod
@@ -289,56 +235,66 @@ class LineDedup:
         count = 2 * k + 1
         return [F.xxhash64("key", F.lit(g), *parts[g::count]) for g in range(count)]
 
-    def _pairs(self, probe: DataFrame, index: DataFrame, counted: int | str | None = None, shifted: bool = False) -> DataFrame:
-        """``counted``: the distance that the counts must allow, or the index column that holds it."""
+    def _pairs(self, probe: DataFrame, index: DataFrame, counted: int = 0) -> DataFrame:
+        """``counted``: the distance that the counts must allow."""
         p, x = probe.alias("p"), index.alias("x")
         on = (F.col("p.key") == F.col("x.key")) & (F.col("p.id") != F.col("x.id")) & ((F.col("p.n") > F.col("x.n")) | ((F.col("p.n") == F.col("x.n")) & (F.col("p.id") < F.col("x.id"))))
-        if shifted:
-            on = on & (F.col("p.n") - F.col("x.n") <= F.col("x.most")) & (F.abs(F.col("p.at") - F.col("x.at")) <= F.col("x.most"))
+        on = on & (F.col("p.short") | F.col("x.short"))
         if counted:
-            most = F.col(f"x.{counted}") if isinstance(counted, str) else F.lit(counted)
-            on = on & (count_gap([F.col("p.c1"), F.col("p.c2")], [F.col("x.c1"), F.col("x.c2")]) <= 2 * most)
+            on = on & (count_gap([F.col("p.c1"), F.col("p.c2")], [F.col("x.c1"), F.col("x.c2")]) <= 2 * counted)
         return p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """Verified pairs (a, b)."""
         pairs = scratch.materialize(self._candidates(), "line-pairs")
-        texts = self._texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = scratch.sized(scratch.materialize(ids, "line-ids"))
+        texts = scratch.materialize(self.lines.select("id", "line", "n_words").join(wanted, "id", "left_semi"), "line-texts")
         sides = [texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab"]
         found = pairs.join(sides[0], F.col("a") == F.col("a_id")).join(sides[1], F.col("b") == F.col("b_id"))
-        most = self._allowed(F.length("b_line"))
-        found = found.filter(count_gap([F.col("a_c1"), F.col("a_c2")], [F.col("b_c1"), F.col("b_c2")]) <= 2 * most)
-        short = scratch.materialize(found.select("a", "b", most.alias("most"), trimmed(F.col("a_line"), F.col("b_line")).alias("t")), "line-trimmed")
-        if self.percent:  # the band of a long line has more cells than a number has bits
-            near = F.call_function("levenshtein", F.col("t.x"), F.col("t.y"), F.col("most")) >= 0
-        else:
-            near = banded_distance(F.col("t.x"), F.col("t.y"), self.k) <= self.k
-        return short.filter(near).select("a", "b")
+        by_words = F.least("a_n_words", "b_n_words") >= self.min_words
+        size = lambda side: F.when(by_words, F.col(f"{side}_n_words")).otherwise(F.length(f"{side}_line"))
+        found = found.withColumn("most", F.least(F.lit(self.k), F.floor(F.least(size("a"), size("b")) / PER_EDIT)).cast("int"))
+        found = found.filter(F.abs(size("a") - size("b")) <= F.col("most"))
+        # The longer one first.
+        swap = size("a") < size("b")
+        found = found.select("a", "b", "most", by_words.alias("by_words"), F.when(swap, F.col("b_line")).otherwise(F.col("a_line")).alias("x"), F.when(swap, F.col("a_line")).otherwise(F.col("b_line")).alias("y"))
+        cut = scratch.materialize(found.filter("NOT by_words").select("a", "b", "most", trimmed(F.col("x"), F.col("y")).alias("t")), "line-trimmed")
+        near = cut.filter(banded_distance(chars(F.col("t.x")), chars(F.col("t.y")), self.k) <= F.col("most")).select("a", "b")
+        sentences = found.filter("by_words").select("a", "b", "most", words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
+        return near.unionByName(sentences.filter(banded_distance(F.col("x"), F.col("y"), self.k) <= F.col("most")).select("a", "b"))
 
     def _classes(self) -> DataFrame:
-        """(id, doc, row, place, docs, class, kept): the class of each different line."""
+        """(id, doc, place, class, kept): the class of each different line."""
         linked = connected_components(scratch.materialize(self.links(), "line-links"))
-        rows = self.lines.drop("line").join(linked, self.lines["id"] == linked["node"], "left")
+        rows = self.lines.drop("line", "n_words").join(scratch.sized(linked), self.lines["id"] == linked["node"], "left")
         rows = scratch.materialize(rows.withColumn("class", F.coalesce("component", "id")).drop("node", "component"), "line-classes")
-        shared = rows.filter("class <> id").select("class").distinct()
-        groups = rows.join(shared, "class", "left_semi")
+        groups = rows.join(scratch.sized(linked.select(F.col("component").alias("class")).distinct()), "class", "left_semi")
         best = groups.groupBy("class").agg(F.min(F.struct("doc", "place", "id")).alias("b"))
+        best = scratch.sized(scratch.materialize(best, "line-best"))
         return rows.join(best, "class", "left").withColumn("kept", F.coalesce(F.col("b.id"), F.col("id")) == F.col("id")).drop("b")
 
     def counts(self) -> DataFrame:
-        """One row per document: doc_id, n_lines, n_distinct, n_kept, n_near (lines given up for a near copy)."""
-        return self._counts().drop("row")
+        """One row per row of the table: doc_id, n_lines, n_distinct, n_kept, n_near (lines given up for a near copy), kept_lines."""
+        every = self._counts().withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        none = {"n_kept": F.lit(0).cast("long"), "n_near": F.lit(0).cast("long"), "kept_lines": F.array().cast("array<int>")}
+        held = [F.when(F.col("copy") == 1, F.col(c)).otherwise(none[c]).alias(c) if c in none else F.col(c) for c in every.columns]
+        return every.select(*held).drop("doc", "copy", "copies")
 
     def _counts(self) -> DataFrame:
-        kept = self.classes.groupBy(F.col("row").alias("holder")).agg(
+        kept = self.classes.groupBy(F.col("doc").alias("holder")).agg(
             F.sum(F.col("kept").cast("long")).alias("k"), F.sum((~F.col("kept")).cast("long")).alias("near"), F.sort_array(F.collect_list(F.when(F.col("kept"), F.col("place")))).alias("places")
         )
-        own = self.docs.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("lines")).cast("long").alias("n_distinct"))
-        return own.join(kept, own["row"] == kept["holder"], "left").select(
-            "row", "doc_id", "n_lines", "n_distinct", F.coalesce("k", F.lit(0)).alias("n_kept"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("places", F.array().cast("array<int>")).alias("kept_lines")
+        own = self.docs.select("doc", "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("lines")).cast("long").alias("n_distinct"))
+        own = own.groupBy("doc", "doc_id").agg(F.max("n_lines").alias("n_lines"), F.max("n_distinct").alias("n_distinct"), F.count(F.lit(1)).alias("copies"))
+        return own.join(kept, own["doc"] == kept["holder"], "left").select(
+            "doc", "copies", "doc_id", "n_lines", "n_distinct", F.coalesce("k", F.lit(0)).alias("n_kept"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("places", F.array().cast("array<int>")).alias("kept_lines")
         )
 
     def texts(self) -> DataFrame:
-        """(doc_id, text) of the kept lines in order; a document's kept lines are numbered among its different ones."""
-        rows = self.docs.select("row", "doc_id", F.array_distinct("lines").alias("lines")).join(self._counts().select("row", "kept_lines"), "row")
-        return rows.select("doc_id", F.array_join(F.transform("kept_lines", lambda i: F.get("lines", i)), "\n").alias("text"))
+        """(doc_id, text): the kept lines and the blank ones, in order; one row per document."""
+        rows = self.docs.dropDuplicates(["doc"]).join(self._counts().select(F.col("doc").alias("holder"), "kept_lines"), F.col("doc") == F.col("holder"))
+        kept = F.transform("kept_lines", lambda i: F.get(F.array_distinct(F.col("lines")), i))
+        rows = rows.select("doc_id", "all", kept.alias("kept"))
+        stays = lambda x, i: (F.btrim(x, F.lit(BLANK)) == "") | (F.array_contains("kept", x) & (F.array_position("all", x) == i + 1))
+        return rows.select("doc_id", F.array_join(F.filter("all", stays), "\n").alias("text"))
