@@ -10,13 +10,15 @@ that of the smallest document id, there the first one.
    k edits leave one segment untouched.
 2. Probe: for each length from l - k to l, and each segment, the parts that can equal it: those whose shift is
    explained by fewer edits to the left than segments lie there, and likewise to the right.
-3. Candidates share a key, and then pass a count filter: 16 classes of symbols, of which 2k counts at most can
-   differ.  Keys shared by more than ``HOT`` lines are made finer by the counts themselves: of 2k + 1 groups of classes
-   one must agree.
-4. Verification: banded bit-parallel edit distance; of characters, what two lines have in common at both ends is taken
-   off first.  The band's 2k + 1 cells of a column are bits of one number; a column costs a few word operations.  It runs
-   as an ``aggregate`` over the symbols.
+3. Candidates share a key.  A key shared by more than ``HOT`` lines is a hot one: its lines meet three pivots only (the
+   line that most documents have, the one of least and the one of greatest id).
+4. Verification: words that only one line has must not be more than k; then banded bit-parallel edit distance; of
+   characters, what two lines have in common at both ends is taken off first.  The band's 2k + 1 cells of a column are bits
+   of one number; a column costs a few word operations.  It runs as an ``aggregate`` over the symbols.
 5. Components of the links (see ``components``).
+6. Lines of a hot key outside the component that most of its lines are in then meet all lines of the key in other
+   components, behind a filter of counts (16 classes of symbols, of which 2k counts at most can differ); what links is
+   added.  That leaves no link between two components unseen.
 
 Documents are told apart by id and text.  Rows equal in both are one document: the first of them has its counts, the
 others keep nothing, and ``texts`` has it once.  Null ids come last in the order of documents; among equal ids the text's
@@ -83,9 +85,9 @@ def char_counts(line: Column) -> list[Column]:
     return _packed([(F.length(line) - F.length(F.translate(line, signs, ""))).cast("long") for signs in groups])
 
 
-def word_counts(words: Column) -> list[Column]:
-    """How often words of each class occur; a word's class is its hash modulo 16."""
-    classes = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(CLASSES - 1)))
+def code_counts(codes: Column) -> list[Column]:
+    """How often words of each class occur; a word's class are the low bits of its hash."""
+    classes = F.transform(codes, lambda c: c.bitwiseAND(F.lit(CLASSES - 1)))
     return _packed([F.size(F.filter(classes, lambda x: x == i)).cast("long") for i in range(CLASSES)])  # noqa: B023  used at once
 
 
@@ -185,71 +187,105 @@ class LineDedup:
         self.classes = self._classes()
 
     def _distinct(self) -> DataFrame:
-        """(id, line, n_words, doc, place): each different line, with the first document that has it and its place there."""
+        """(id, line, n_words, head, codes, doc, place, docs): each different line, with the first document that has it and its place there.
+
+        ``head`` is the line if it can be compared by characters, ``codes`` are its words' hashes if it can be by words.
+        """
         each = self.docs.select("doc", F.posexplode(F.array_distinct("lines")).alias("place", "line"))
-        found = each.groupBy("line").agg(F.min("doc").alias("doc"), F.expr("min_by(place, doc)").alias("place"))
-        return scratch.materialize(found.withColumn("id", F.monotonically_increasing_id()).withColumn("n_words", F.size(words(F.col("line")))), "lines")
-
-    def _candidates(self) -> DataFrame:
-        """Pairs (a, b) that share a key; a is the probe, not shorter than b."""
-        few = self.lines.filter(F.col("n_words") < self.min_words + self.k).withColumn("sign", F.col("line"))
-        few = few.select("id", "sign", F.length("line").cast("int").alias("n"), (F.col("n_words") < self.min_words).alias("short"))
-        many = self.lines.filter(F.col("n_words") >= self.min_words)
-        many = many.select("id", words(F.col("line")).alias("sign"), F.col("n_words").alias("n"), F.lit(True).alias("short"))
-        found = None
-        for rows, part in ((few, lambda p, n: F.call_function("substring", F.col("sign"), p, n)), (many, lambda p, n: F.slice("sign", p, n))):
+        found = each.groupBy("line").agg(F.min("doc").alias("doc"), F.expr("min_by(place, doc)").alias("place"), F.count(F.lit(1)).alias("docs"))
+        found = found.withColumn("id", F.monotonically_increasing_id()).withColumn("codes", F.transform(words(F.col("line")), lambda w: F.hash(w)))
+        found = found.withColumn("n_words", F.size("codes"))
+        found = found.withColumn("head", F.when(F.col("n_words") < self.min_words + self.k, F.col("line")))
+        return scratch.materialize(found.withColumn("codes", F.when(F.col("n_words") >= self.min_words, F.col("codes"))), "lines")
+
+    def _keys(self, keys, longer: bool) -> DataFrame:
+        """(id, docs, key) of all lines, by ``keys(part, length, k)`` for the bands of one distance each that a line's length lies in.
+
+        A line as much as k ``longer`` than a band's belongs to it too.
+        """
+        rows = self.lines.select("id", "docs", "head", F.length("head").cast("int").alias("n"), "codes", "n_words")
+        none = F.array().cast("array<bigint>")
+        bands = []
+        for sign, n in ((F.col("head"), F.col("n")), (F.col("codes"), F.col("n_words"))):
+            part = (lambda p, m: F.call_function("substring", F.col("head"), p, m)) if not bands else (lambda p, m: F.slice("codes", p, m))
             for k in range(1, self.k + 1):
-                own = self._band(rows, part, rows is many, k, PER_EDIT * k, PER_EDIT * (k + 1) - 1 if k < self.k else None)
-                found = own if found is None else found.unionByName(own)
-        return found.distinct()
-
-    def _band(self, rows: DataFrame, part, by_words: bool, k: int, low: int, high: int | None) -> DataFrame:
-        """Pairs of which the shorter line has a length from low to high."""
-        n = F.col("n")
-        within = lambda most: F.lit(True) if high is None else n <= most
-        # Of two lines compared by characters one has few words, be it the shorter or the longer one.
-        index = rows.filter((n >= low) & within(high)).select("id", "n", "short", F.explode(F.array(*index_keys(part, n, k))).alias("key"))
-        probe = rows.filter((n >= low) & within(high + k if high else 0)).select("id", "n", "short", F.explode(F.array_distinct(F.array(*probe_keys(part, n, k)))).alias("key"))
-        index = scratch.materialize(index, "line-index")
-        crowded = scratch.materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > self.hot).select("key"), "line-hot")
-        if crowded.isEmpty():
-            return self._pairs(probe, index)
-        crowded = scratch.sized(crowded)
-        calm = [t.join(crowded, "key", "left_anti") for t in (probe, index)]
-        close = [scratch.materialize(t.join(crowded, "key", "left_semi"), "line-crowd") for t in (probe, index)]
-        counts = self._texts(close[0].select("id").unionByName(close[1].select("id")), by_words).drop("line")
-        finer = [t.join(counts, "id").withColumn("key", F.explode(F.array(*self._finer(k)))) for t in close]
-        return self._pairs(*calm).unionByName(self._pairs(*finer, counted=k))
-
-    def _texts(self, ids: DataFrame, by_words: bool) -> DataFrame:
-        """(id, line, c1, c2) of the lines asked for."""
-        first, second = word_counts(words(F.col("line"))) if by_words else char_counts(F.col("line"))
+                held = sign.isNotNull() & (n >= PER_EDIT * k)
+                if k < self.k:
+                    held = held & (n < PER_EDIT * (k + 1) + (k if longer else 0))
+                found = [F.xxhash64(F.lit(len(bands)), key) for key in keys(part, n, k)]
+                bands.append(F.when(held, F.array(*found)).otherwise(none))
+        # The keys in a projection of their own: there common parts are computed once.
+        rows = rows.select("id", "docs", *[b.alias(f"band{i}") for i, b in enumerate(bands)])
+        every = F.concat(*[F.col(f"band{i}") for i in range(len(bands))])
+        return rows.select("id", "docs", F.explode(F.array_distinct(every)).alias("key"))
+
+    def _met(self) -> DataFrame:
+        """(a, b, key): lines a that share a key with b; the key if it is hot, else null."""
+        index = scratch.materialize(self._keys(index_keys, False), "line-index")
+        held = index.groupBy("key").agg(
+            F.count(F.lit(1)).alias("held"), F.expr("max_by(id, docs)").alias("p1"), F.min("id").alias("p2"), F.max("id").alias("p3")
+        )
+        hot = scratch.materialize(held.filter(F.col("held") > self.hot).drop("held"), "line-hot")
+        self.crowd = scratch.materialize(index.join(scratch.sized(hot.select("key")), "key", "left_semi").select("key", "id"), "line-crowd")
+        calm = index.join(scratch.sized(hot.select("key")), "key", "left_anti").select("key", F.col("id").alias("b"), F.lit(False).alias("hot"))
+        pivots = hot.select("key", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b"), F.lit(True).alias("hot"))
+        probe = self._keys(probe_keys, True).select(F.col("id").alias("a"), "key")
+        met = probe.join(calm.unionByName(pivots), "key").filter(F.col("hot") | (F.col("a") != F.col("b")))
+        return scratch.materialize(met.select("a", "b", F.when(F.col("hot"), F.col("key")).alias("key")), "line-met")
+
+    def _outside(self, met: DataFrame, links: DataFrame) -> DataFrame | None:
+        """Pairs of lines of a hot key that are in different components, one of them not in the key's main one."""
+        probe = met.filter("key is not null").select("key", F.col("a").alias("id")).distinct()
+        linked = scratch.materialize(connected_components(links), "line-components")
+        linked = scratch.sized(linked.withColumnRenamed("node", "id"))
+        named = lambda rows: rows.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        probe, index = (scratch.materialize(named(rows), "line-named") for rows in (probe, self.crowd))
+        counts = probe.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
+        main = counts.groupBy("key").agg(F.expr("max_by(label, held)").alias("main"), F.count(F.lit(1)).alias("labels"))
+        main = scratch.sized(scratch.materialize(main.filter("labels > 1").drop("labels"), "line-main"))
+        probe, index = (rows.join(main, "key") for rows in (probe, index))
+        counts = self._counted(probe.select("id").unionByName(index.select("id")))
+        probe, index = (scratch.materialize(rows.join(counts, "id"), "line-outside") for rows in (probe, index))
+        if probe.isEmpty():
+            return None
+        found = None
+        for one, other in ((probe.filter("label <> main"), index), (probe.filter("label = main"), index.filter("label <> main"))):
+            p, x = one.alias("p"), other.alias("x")
+            on = (F.col("p.key") == F.col("x.key")) & (F.col("p.label") != F.col("x.label"))
+            for kind in "wc":
+                gap = count_gap([F.col(f"p.{kind}1"), F.col(f"p.{kind}2")], [F.col(f"x.{kind}1"), F.col(f"x.{kind}2")])
+                # No counts: the line isn't compared by such symbols.
+                on = on & (F.coalesce(gap, F.lit(0)) <= 2 * self.k)
+            pairs = p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b"))
+            found = pairs if found is None else found.unionByName(pairs)
+        return found
+
+    def _texts(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """(id, *columns) of the lines asked for."""
         wanted = scratch.sized(scratch.materialize(ids.distinct(), "line-ids"))
-        found = self.lines.select("id", "line").join(wanted, "id", "left_semi")
-        return scratch.materialize(found.select("id", "line", first.alias("c1"), second.alias("c2")), "line-texts")
-
-    @staticmethod
-    def _finer(k: int) -> list[Column]:
-        """Keys of 2k + 1 groups of classes; 2k changes leave one group's counts alone."""
-        parts = [F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255)) for c in (F.col("c1"), F.col("c2")) for i in range(8)]
-        count = 2 * k + 1
-        return [F.xxhash64("key", F.lit(g), *parts[g::count]) for g in range(count)]
-
-    def _pairs(self, probe: DataFrame, index: DataFrame, counted: int = 0) -> DataFrame:
-        """``counted``: the distance that the counts must allow."""
-        p, x = probe.alias("p"), index.alias("x")
-        on = (F.col("p.key") == F.col("x.key")) & (F.col("p.id") != F.col("x.id")) & ((F.col("p.n") > F.col("x.n")) | ((F.col("p.n") == F.col("x.n")) & (F.col("p.id") < F.col("x.id"))))
-        on = on & (F.col("p.short") | F.col("x.short"))
-        if counted:
-            on = on & (count_gap([F.col("p.c1"), F.col("p.c2")], [F.col("x.c1"), F.col("x.c2")]) <= 2 * counted)
-        return p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b")).distinct()
+        return self.lines.select("id", *columns).join(wanted, "id", "left_semi")
+
+    def _counted(self, ids: DataFrame) -> DataFrame:
+        """(id, w1, w2, c1, c2): packed counts of words and characters, null where a line isn't compared by them alone."""
+        rows = self._texts(ids, "head", "codes", "n_words")
+        by_words = F.col("n_words") >= self.min_words + self.k
+        both = [F.when(by_words, c) for c in code_counts(F.col("codes"))] + [F.when(F.col("n_words") < self.min_words, c) for c in char_counts(F.col("head"))]
+        return scratch.materialize(rows.select("id", *[c.alias(name) for c, name in zip(both, ("w1", "w2", "c1", "c2"))]), "line-counts")
 
     def links(self) -> DataFrame:
-        """Verified pairs (a, b)."""
-        pairs = scratch.materialize(self._candidates(), "line-pairs")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = scratch.sized(scratch.materialize(ids, "line-ids"))
-        texts = scratch.materialize(self.lines.select("id", "line", "n_words").join(wanted, "id", "left_semi"), "line-texts")
+        """Verified pairs (a, b), enough of them to connect whatever links."""
+        met = self._met()
+        first = scratch.materialize(self._near(met.filter("a <> b").select("a", "b")), "line-links")
+        if self.crowd.isEmpty():
+            return first
+        more = self._outside(met, first)
+        return first if more is None else scratch.materialize(first.unionByName(self._near(more)), "line-links")
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link."""
+        pairs = scratch.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+        texts = scratch.materialize(self._texts(ids, "line", "n_words"), "line-texts")
         sides = [texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab"]
         found = pairs.join(sides[0], F.col("a") == F.col("a_id")).join(sides[1], F.col("b") == F.col("b_id"))
         by_words = F.least("a_n_words", "b_n_words") >= self.min_words
@@ -262,12 +298,14 @@ class LineDedup:
         cut = scratch.materialize(found.filter("NOT by_words").select("a", "b", "most", trimmed(F.col("x"), F.col("y")).alias("t")), "line-trimmed")
         near = cut.filter(banded_distance(chars(F.col("t.x")), chars(F.col("t.y")), self.k) <= F.col("most")).select("a", "b")
         sentences = found.filter("by_words").select("a", "b", "most", words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
+        for one, other in (("x", "y"), ("y", "x")):
+            sentences = sentences.filter(F.size(F.array_except(one, other)) <= F.col("most"))
         return near.unionByName(sentences.filter(banded_distance(F.col("x"), F.col("y"), self.k) <= F.col("most")).select("a", "b"))
 
     def _classes(self) -> DataFrame:
         """(id, doc, place, class, kept): the class of each different line."""
-        linked = connected_components(scratch.materialize(self.links(), "line-links"))
-        rows = self.lines.drop("line", "n_words").join(scratch.sized(linked), self.lines["id"] == linked["node"], "left")
+        linked = connected_components(self.links())
+        rows = self.lines.select("id", "doc", "place").join(scratch.sized(linked), self.lines["id"] == linked["node"], "left")
         rows = scratch.materialize(rows.withColumn("class", F.coalesce("component", "id")).drop("node", "component"), "line-classes")
         groups = rows.join(scratch.sized(linked.select(F.col("component").alias("class")).distinct()), "class", "left_semi")
         best = groups.groupBy("class").agg(F.min(F.struct("doc", "place", "id")).alias("b"))
