@@ -197,9 +197,13 @@ def carve(blob: bytes) -> list[Found]:
 
 def sniff(blob: bytes | None, declared: str | None) -> tuple[str | None, list[Found]]:
     """True type (the declared one if the content names none), and the media embedded further in."""
-    found = carve(blob) if blob else []
+    return typed(carve(blob), declared) if blob else (None, [])
+
+
+def typed(found: list[Found], declared: str | None) -> tuple[str | None, list[Found]]:
+    """The type of what stands at the start, and the rest."""
     own = next((f for f in found if f.offset == 0), None)
-    return (own.kind if own else declared if blob else None), [f for f in found if f is not own]
+    return (own.kind if own else declared), [f for f in found if f is not own]
 
 
 def wav_of(payload: bytes, rate: int = RATE) -> bytes:
@@ -248,10 +252,12 @@ def media_features(media: DataFrame) -> DataFrame:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "media_type", "n_embedded", "feature")}
             for blob, declared in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
-                kind, embedded = sniff(blob, declared)
+                found = carve(blob)
+                kind, embedded = typed(found, declared)
                 if kind != "audio/wav":
                     raise ValueError(f"stored media reads back as {kind}")
-                payload = samples_of(blob)
+                own = next(f for f in found if f.offset == 0)
+                payload = samples_of(blob[: own.length])
                 wave = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
                 feature = {
                     "declared": declared,

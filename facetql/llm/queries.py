@@ -44,7 +44,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.store_text(_table(spark, sf_dir, "documents")))
+    stored = scratch.materialize(media.store_text(_table(spark, sf_dir, "documents")), "media")
+    return media.media_features(stored)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
