@@ -21,11 +21,12 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Elements by role, after the HTML standard.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "svg", "math", "select", "object"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong"
-    " sub sup time tt u var picture audio video canvas map meter output progress".split()
+    " sub sup time tt u var picture audio video canvas map meter output progress object"
+    " svg g text tspan math semantics annotation mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder mstyle mspace".split()
 )
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -141,6 +142,35 @@ def parse(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, runs
 
 
+NAMED = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def title_and_links(source: str | None) -> tuple[str | None, list[str]]:
+    """The first title outside drawings, and the href of links in page order; comments and raw text hold neither."""
+    title, links, drawings, pos = None, [], 0, 0
+    source = source or ""
+    while m := TOKEN.search(source, pos):
+        pos = m.end()
+        tag = (m.group(2) or m.group(5) or "").lower()
+        closing = m.group(1) or m.group(4)
+        rest = m.group(3) if m.group(2) else m.group(6) or ""
+        if tag == "svg" and not rest.endswith("/"):
+            drawings = max(0, drawings + (-1 if closing else 1))
+        if closing or not tag:
+            continue
+        if tag in ("a", "area", "link"):
+            href = next((x[2] or x[3] or x[4] or "" for x in NAMED.finditer(rest) if x[1].lower() == "href"), None)
+            if href is not None:
+                links.append(html.unescape(href))
+        elif tag in RAW and not rest.endswith("/"):
+            end = re.compile(f"</{re.escape(tag)}", re.I).search(source, pos)
+            stop = end.start() if end else len(source)
+            if tag == "title" and title is None and not drawings:
+                title = " ".join(html.unescape(source[pos:stop]).split())
+            pos = stop
+    return title, links
+
+
 def plain_text(source: str | None, separator: str = "\n") -> str:
     """All visible text, a line for each block."""
     return separator.join(run for _, run in parse(source)[1])

@@ -14,8 +14,8 @@ the target URI out, repeated rows give repeated records.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
-import html
 import json
 import re
 import uuid
@@ -29,14 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .html_tree import plain_text
+from .html_tree import plain_text, title_and_links
 
 VERSION = b"WARC/1.1"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of name-based UUIDs
 FEED = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
-LINK = re.compile(r"""<(?:a|link|area)\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 CHARSET = re.compile(rb"charset=[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -124,6 +122,27 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
+def decoded(http: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without its transfer and content encoding; bytes that don't keep to one stay as they are."""
+    named = {k.lower(): v.lower() for k, v in http}
+    if "chunked" in named.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while (end := payload.find(b"\r\n", at)) >= 0:
+            size = payload[at:end].split(b";")[0].strip()
+            if not size or size.strip(b"0123456789abcdefABCDEF"):
+                break
+            parts.append(payload[end + 2 : end + 2 + int(size, 16)])
+            at = end + 4 + int(size, 16)
+            if not int(size, 16):
+                payload = b"".join(parts)
+                break
+    bits = {"gzip": 31, "x-gzip": 31, "deflate": 15}.get(named.get("content-encoding", ""))
+    if bits:
+        with contextlib.suppress(zlib.error):
+            return zlib.decompress(payload, bits)
+    return payload
+
+
 def derive(source: Record) -> list[Record]:
     """The metadata and the conversion record of a response."""
     if source.get("WARC-Type") != "response":
@@ -131,20 +150,21 @@ def derive(source: Record) -> list[Record]:
     own = source.get("WARC-Record-ID") or ""
     status, http, payload = split_http(source.block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    found = CHARSET.search(kind.encode()) or CHARSET.search(payload[:1024])
+    body = decoded(http, payload)
+    found = CHARSET.search(kind.encode()) or CHARSET.search(body[:1024])
     try:
-        page = payload.decode(found[1].decode() if found else "utf-8", "replace")
+        page = body.decode(found[1].decode() if found else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     ids = {kind_: record_id(kind_, own) for kind_ in ("metadata", "conversion")}
     payload_digest = source.get("WARC-Payload-Digest") or digest(payload)
-    title = TITLE.search(page)
+    title, links = title_and_links(page)
     facts = {
         "source": {"headers": source.headers, "block-digest": source.get("WARC-Block-Digest") or digest(source.block), "payload-digest": payload_digest},
         "http": {"status": status, "headers": http},
         "html": {
-            "title": " ".join(html.unescape(title[1]).split()) if title else None,
-            "links": [html.unescape(x[0] or x[1] or x[2]) for x in LINK.findall(page)],
+            "title": title,
+            "links": links,
         },
     }
     blocks = {
