@@ -211,6 +211,7 @@ def pack(
                         whole.append([(count, start, step)])
                     else:
                         waiting.append((count, start, step))
+                        held += step
                     start += step
                 if len(ids) > start:
                     waiting.append((count, start, len(ids) - start))

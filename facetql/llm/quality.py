@@ -147,8 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("binary").alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), "lid")
-        .dropDuplicates(["lid"])
-        .select("lid", "label", "text")
+        .groupBy("lid")
+        .agg(F.min(F.struct("label", "text")).alias("least"))  # of rows that share an id always the same one
+        .select("lid", "least.label", "least.text")
         .mapInArrow(count, "lid long, label int, term binary, n binary")
         .collect()
     )
