@@ -1,6 +1,8 @@
 """Classifier, shards, media, packing, WARC, mixing and HTML extraction: brute force, round trips, held-out accuracy."""
 
 import hashlib
+import wave
+import gzip
 import io
 import json
 import random
@@ -179,6 +181,13 @@ def test_stored_text_reads_back(spark):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         stored = media.wav_of(padded)
+        with wave.open(io.BytesIO(stored)) as w:
+            assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, padded)
+        own = io.BytesIO()
+        with wave.open(own, "wb") as w:
+            w.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            w.writeframes(padded)
+        assert own.getvalue() == stored
         assert (r["media_bytes"], r["media_sha256"], bytes(media.samples_of(stored))) == (len(stored), hashlib.sha256(stored).hexdigest(), padded)
     assert rows[6]["feature"] == rows[7]["feature"] and json.loads(rows[3]["feature"])["corrected"] is True
     assert media.media_features(media.store_text(docs_of(spark, []))).count() == 0
@@ -208,6 +217,27 @@ def test_warc_derivatives(spark):
     assert warc.write_derivatives(warc.response_column(pages.limit(0)), path + "-none") == []
 
 
+def test_titles_and_links_are_those_of_elements():
+    page = """<!-- <a href="/no"> --><svg><title>icon</title><text>s</text></svg><script>'<a href="/no">'</script>
+    <title>One
+    two</title><a data-href="/no" title="x href='/no'" HREF='/1?a&amp;b'>x</a><area href=/2><link rel=x href="/3"/><a>no</a><title>late</title><textarea><a href="/no">"""
+    assert html_tree.title_and_links(page) == ("One two", ["/1?a&b", "/2", "/3"])
+    assert html_tree.title_and_links(None) == (None, []) and html_tree.title_and_links("<title>open") == ("open", [])
+
+
+def test_encoded_payloads():
+    body = b"<title>t</title><p>text"
+    for head, payload in ((b"", body), (b"Content-Encoding: gzip\r\n", gzip.compress(body)), (b"Transfer-Encoding: chunked\r\n", b"5;x=1\r\n<titl\r\n12\r\ne>t</title><p>text\r\n0\r\n\r\n"), (b"Content-Encoding: gzip\r\n", body)):
+        source = warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:x>")], b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + payload)
+        meta, conversion = warc.derive(source)
+        assert conversion.block == b"text" and json.loads(meta.block)["html"]["title"] == "t"
+
+
+def test_drawn_and_set_text_stays():
+    page = "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><text>label</text></svg> <object>shown</object></p><xmp>as is</xmp>"
+    assert html_tree.plain_text(page) == "Let x=1 and label shown\nas is"
+
+
 def test_warc_parsing():
     record = warc.response_record(1, "http://é", "x" * 10)
     data = warc.to_bytes(record)
