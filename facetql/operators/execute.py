@@ -33,6 +33,8 @@ from ..plans.logical import ByBuckets, ByField, ByGrid, ByTerms, ByTop, Logical
 from ..sources.catalog import INT, STRING, TIME, Dataset
 
 MOST_GROUPS = 1_000_000
+#: Slices of a field's range, for running counts without groups.
+SLICES = 4096
 
 
 @dataclass
@@ -75,6 +77,15 @@ class Compiler:
                     out.append(F.sum(m.bottom).alias(f"__bottom{i}"))
         return out or [F.count(F.lit(1)).alias("__rows")]
 
+    def _distinct_counts(self) -> list[Column]:
+        """Counts of distinct terms of fields with one value, in the same aggregation as the sums."""
+        out = []
+        for i, m in enumerate(self.wanted, 1):
+            if isinstance(m, Distinct) and not self.dataset.has_many(f := self.dataset.find(m.field)):
+                term = self.dataset.terms(f).cast("long" if f.kind in (INT, TIME) else "string")
+                out.append(F.countDistinct(term).cast("double").alias(f"m{i}"))
+        return out
+
     def totals(self) -> DataFrame:
         """One row with the metrics over all filtered rows; without distinct and percentile."""
         df = self._filtered(False)
@@ -149,9 +160,13 @@ class Compiler:
         return docs.select(*keys.columns).distinct() if keys.columns else None
 
     @staticmethod
-    def _times(parents: DataFrame | None, dimension: DataFrame) -> DataFrame:
-        """Every parent with every row of a small dimension."""
-        return dimension if parents is None else parents.crossJoin(F.broadcast(dimension))
+    def _times(parents: DataFrame | None, dimension: DataFrame, n: int) -> DataFrame:
+        """Every parent with every one of a dimension's n rows; what that makes is checked first."""
+        if parents is None:
+            return dimension
+        if parents.limit(MOST_GROUPS // n + 1).count() > MOST_GROUPS // n:
+            raise LimitError(f"groups with {n} buckets or terms each exceed {MOST_GROUPS} groups", "group by")
+        return parents.crossJoin(F.broadcast(dimension))
 
     def _group(self, docs: DataFrame, keys: Keys, i: int, g, last: bool) -> tuple[DataFrame, Keys]:
         key = f"g{i}"
@@ -193,7 +208,7 @@ class Compiler:
         rows = self._exploded(docs, g.field, key).filter(F.col(key).isin(list(g.terms)))
         if last:
             return rows, Keys([*keys.columns, key], [*keys.order, key])
-        parents = self._times(self._present(docs, keys), listed)
+        parents = self._times(self._present(docs, keys), listed, max(1, len(g.terms)))
         places = F.array_position(F.array(*[F.lit(t).cast(kind) for t in g.terms]), F.col(key)) - 1
         return rows.withColumn(at, places.cast("int")), Keys([*keys.columns, key, at], [*keys.order, at], parents)
 
@@ -271,7 +286,7 @@ class Compiler:
             return F.when(place == n, edge("< ", g.low)).when(place == n + 1, edge(">= ", g.high)).otherwise(inner)
 
         dimension = self.spark.range(n + 2 * g.gutters).select(F.col("id").alias(at))
-        parents = self._times(self._present(docs, keys), dimension).withColumn(key, label(F.col(at)))
+        parents = self._times(self._present(docs, keys), dimension, n + 2 * g.gutters).withColumn(key, label(F.col(at)))
         return rows.withColumn(key, label(F.col(at))), Keys([*keys.columns, key, at], [*keys.order, at], parents)
 
     # Aggregation.
@@ -280,8 +295,10 @@ class Compiler:
         if self.ready is not None:
             return self.ready
         grouped = docs.groupBy(*keys.columns)
-        found = grouped.agg(*self._aggregates())
+        found = grouped.agg(*self._aggregates(), *self._distinct_counts())
         for i, m in enumerate(self.wanted, 1):
+            if f"m{i}" in found.columns:
+                continue
             if isinstance(m, Distinct):
                 found = self._beside(found, self._exploded(docs, m.field, "__t").groupBy(*keys.columns).agg(F.countDistinct("__t").cast("double").alias(f"m{i}")), keys)
             elif isinstance(m, Percentile):
@@ -307,19 +324,48 @@ class Compiler:
         Rows without the field count in the group's size.  A string field's terms are read as integers.
         """
         f = self.dataset.find(m.field)
-        sizes = docs.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("__n"))
-        terms = self._exploded(docs, m.field, "__t")
+        many = self.dataset.has_many(f)
+        if many:
+            terms = self._exploded(docs, m.field, "__t")
+        else:  # rows without a term are counted under null: one scan gives the group's size too
+            terms = docs.withColumn("__t", self.dataset.terms(f).cast("long" if f.kind in (INT, TIME) else "string"))
         if f.kind == STRING:
-            terms = terms.withColumn("__t", F.col("__t").try_cast("long")).filter(F.col("__t").isNotNull())
+            terms = terms.withColumn("__t", F.col("__t").try_cast("long"))
         counts = terms.groupBy(*keys.columns, "__t").agg(F.count(F.lit(1)).alias("__c"))
-        window = Window.partitionBy(*(keys.columns or [F.lit(0)])).orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
-        running = self._beside(counts.withColumn("__upto", F.sum("__c").over(window)), sizes, keys)
+        if many:
+            counts = counts.filter(F.col("__t").isNotNull())
+            sizes = docs.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("__n"))
+        if keys.columns:
+            if not many:
+                counts = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys.columns)))
+            window = Window.partitionBy(*keys.columns).orderBy(F.col("__t").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+            running = counts.withColumn("__upto", F.sum("__c").over(window))
+        else:
+            running = self._running_counts(counts)
+        if many:
+            running = self._beside(running, sizes, keys)
         target = F.lit(m.percent) / F.lit(100.0) * F.col("__n")
-        reached = (F.col("__upto") >= target) & (F.col("__upto") - F.col("__c") < target)
+        reached = (F.col("__upto") >= target) & (F.col("__upto") - F.col("__c") < target)  # a null term's is null either way
         found = F.coalesce(F.min(F.when(reached, F.col("__t"))), F.max("__t"))
         return running.groupBy(*keys.columns).agg(found.cast("double").alias(f"m{i}"))
 
 
+    @staticmethod
+    def _running_counts(counts: DataFrame) -> DataFrame:
+        """``__upto`` over the values ``__t``, and the sum ``__n``, in two levels: slices of the values' range, then within each."""
+        place = F.col("__t").cast("double")
+        ends = counts.agg(F.min(place).alias("__low"), F.max(place).alias("__high"), F.sum("__c").alias("__n"))
+        step = (F.col("__high") - F.col("__low")) / F.lit(float(SLICES)) + F.lit(1.0)
+        sliced = counts.crossJoin(F.broadcast(ends)).withColumn("__slice", F.floor((place - F.col("__low")) / step)).drop("__low", "__high")
+        sums = sliced.groupBy("__slice").agg(F.sum("__c").alias("__held"))
+        before = Window.orderBy(F.col("__slice").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(F.col("__slice").alias("__at"), F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__before"))
+        inside = Window.partitionBy("__slice").orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
+        within = sliced.withColumn("__inside", F.sum("__c").over(inside))
+        found = within.join(F.broadcast(sums), F.col("__slice").eqNullSafe(F.col("__at")))
+        return found.withColumn("__upto", F.col("__before") + F.col("__inside")).drop("__slice", "__at", "__before", "__inside")
+
+
 def _at(x: Column) -> Column:
     """A wall-clock time, whatever the session's zone."""
     return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), x.cast("decimal(18,6)"))

@@ -9,11 +9,13 @@ import json
 import logging
 import threading
 import time
+import weakref
 from collections.abc import Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,14 +117,14 @@ class Engine:
         dataset = self.catalog.find(name)
         if of is not None:
             return self.top_terms(dataset, of)
-        rows = [(f.name, f.kind, f.description, False) for f in dataset.fields.values()]
-        rows += [(m.name, "metric", m.description, False) for m in dataset.metrics.values() if not m.hidden]
-        return self.spark.createDataFrame(rows, "name string, kind string, description string, hidden boolean").drop("hidden")
+        rows = [(f.name, f.kind, f.description) for f in dataset.fields.values()]
+        rows += [(m.name, "metric", m.description) for m in dataset.metrics.values() if not m.hidden]
+        return self.spark.createDataFrame(rows, "name string, kind string, description string")
 
     def top_terms(self, dataset: Dataset, name: str, k: int = TOP_TERMS) -> DataFrame:
         f = dataset.fields.get(name)
         if f is None or f.kind != STRING:
-            return self.spark.createDataFrame([("notfound", 0)], "term string, rows long").filter("false")
+            return self.spark.createDataFrame([("notfound", 0)], "term string, rows long")
         terms = dataset.terms(f)
         terms = F.explode(F.array_distinct(terms)) if dataset.has_many(f) else terms
         counts = dataset.df.select(terms.alias("term")).filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
@@ -151,7 +153,7 @@ class Engine:
     def cache_key(self, statement: ast.Select) -> str:
         """Normalised query without its limit, and the files it reads."""
         plain = ast.Select(statement.metrics, statement.source, statement.where, statement.groups)
-        files = sorted(self.catalog.find(statement.source.dataset).df.inputFiles())
+        files = [(f, *self._version(f)) for f in sorted(self.catalog.find(statement.source.dataset).df.inputFiles())]
         return hashlib.sha1(json.dumps([VERSION, repr(plain), files]).encode()).hexdigest()
 
     def execute(self, query: str, user: str = "", totals: bool = False, cache: bool = True) -> Result:
@@ -165,10 +167,31 @@ class Engine:
             found = Result(compiler.ordered(), statement, key=key)
             if key:
                 found.cached, found.df = self._cached(key, statement, compiler)
+            else:
+                found.df = self._held(found.df)
             if totals:
                 found.totals = self._within(lambda: compiler.totals().collect()[0].asDict())
             return found
 
+    def _held(self, df: DataFrame) -> DataFrame:
+        """The result, computed under the limits and kept by Spark (in memory, then on disk) until it is no longer used."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            rows = self._within(df.count)
+            if rows > self.limits.rows:
+                raise LimitError(f"more than {self.limits.rows} rows")
+        except Exception:
+            df.unpersist()
+            raise
+        weakref.finalize(df, df._jdf.unpersist)
+        return df
+
+    def _version(self, file: str) -> tuple[int, int]:
+        """Length and time of a file: one that is replaced under its name is another."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        return status.getLen(), status.getModificationTime()
+
     def _cached(self, key: str, statement: ast.Select, compiler: Compiler) -> tuple[bool, DataFrame]:
         path = f"{self.cache_dir}/{key}.parquet"
         hit = self._exists(f"{path}/_SUCCESS")
@@ -258,12 +281,17 @@ class Engine:
         context.setJobGroup(group, "query", interruptOnCancel=True)
         timer = threading.Timer(self.limits.timeout, stop)
         timer.start()
+        too_late = LimitError(f"the query took more than {self.limits.timeout} s")
         try:
-            return action()
+            found = action()
         except Exception as e:
             if late.is_set():
-                raise LimitError(f"the query took more than {self.limits.timeout} s") from e
+                raise too_late from e
             raise
+        else:
+            if late.is_set():  # between two jobs there was nothing to cancel
+                raise too_late
+            return found
         finally:
             timer.cancel()
             context.setLocalProperty("spark.jobGroup.id", None)

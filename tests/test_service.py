@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 import time
 from datetime import datetime
@@ -41,13 +42,56 @@ def test_every_position_of_explode_is_checked(spark, monkeypatch):
     own.register("d", spark.createDataFrame(rows, "time long, k string, n long"))
     for groups in ("k*, n[2]", "k*, time(12h)", "n, k*"):
         query = f"from d 1970-01-01 1970-01-02 group by {groups} select count()"
-        monkeypatch.setattr(execute, "MOST_GROUPS", 8)
+        monkeypatch.setattr(execute, "MOST_GROUPS", 16)
         assert sum(r["m1"] for r in own.query(query).collect()) == 12
         monkeypatch.setattr(execute, "MOST_GROUPS", 2)
         with pytest.raises(LimitError):
             own.query(query).collect()
 
 
+def test_products_of_buckets_are_checked(spark, monkeypatch):
+    own = Engine(spark)
+    own.register("d", spark.createDataFrame([(60 * i, f"u{i % 4}", i % 2) for i in range(12)], "time long, k string, n long"))
+    for groups in ("k, buckets(n,0,10,1)", "buckets(n,0,10,1,n,0,3,1)", "k, time(1h)"):
+        query = f"from d 1970-01-01 1970-01-02 group by {groups} select count()"
+        assert sum(r["m1"] for r in own.query(query).collect()) == 12
+        monkeypatch.setattr(execute, "MOST_GROUPS", 30)
+        with pytest.raises(LimitError):
+            own.query(query).collect()
+        monkeypatch.undo()
+
+
+def test_limits_hold_without_a_cache(spark):
+    df = spark.range(100).select((F.col("id") * 60).alias("time"), F.col("id").cast("string").alias("k"))
+    query = "from d 1970-01-01 1970-01-02 group by k select count()"
+    own = Engine(spark, Limits(rows=5))
+    own.register("d", df)
+    with pytest.raises(LimitError):
+        own.execute(query)
+    assert own.execute(query + " limit 5").df.count() == 5
+    own = Engine(spark, Limits(timeout=0.0001))
+    own.register("d", df)
+    with pytest.raises(LimitError):
+        for _ in range(20):
+            own.execute(query)
+
+
+def test_replaced_files_are_read_again(spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    own = Engine(spark, cache_dir=str(tmp_path / "cache"))
+    spark.createDataFrame([(0, "a")], "time long, k string").coalesce(1).write.parquet(path)
+    own.register("d", spark.read.parquet(path))
+    statement = own.parse("from d 1970-01-01 1970-01-02 group by k select count()")
+    first = own.cache_key(statement)
+    file = next((tmp_path / "d.parquet").glob("part*"))
+    os.utime(file, (1, 1))
+    assert own.cache_key(statement) != first
+
+
+def test_unknown_field_is_described_as_not_found(engine):
+    assert [tuple(r) for r in engine.describe("d", "nothing").collect()] == [("notfound", 0)]
+
+
 def test_missing_hours_beyond_any_bound(spark):
     first, last = datetime(1970, 1, 1), datetime(1990, 1, 1)
     hours = int((last - first).total_seconds() // 3600)
