@@ -121,10 +121,28 @@ class Engine:
         rows += [(m.name, "metric", m.description) for m in dataset.metrics.values() if not m.hidden]
         return self.spark.createDataFrame(rows, "name string, kind string, description string")
 
+    def described(self, query: str) -> dict:
+        """Show and describe as nested values, for JSON: names, kinds, units, and a field's top terms."""
+        statement = self.parse(query)
+        if isinstance(statement, ast.Show):
+            return {"datasets": [{"name": d.name, "description": d.description} for d in sorted(self.catalog.datasets.values(), key=lambda d: d.name)]}
+        if not isinstance(statement, ast.Describe):
+            raise QueryError("a show or describe statement is needed")
+        dataset = self.catalog.find(statement.dataset)
+        if statement.field is None:
+            fields = [{"name": f.name, "type": f.kind, "description": f.description} for f in dataset.fields.values()]
+            metrics = [{"name": m.name, "unit": m.unit, "description": m.description} for m in dataset.metrics.values() if not m.hidden]
+            return {"name": dataset.name, "description": dataset.description, "fields": fields, "metrics": metrics}
+        f = dataset.fields.get(statement.field)
+        if f is None:
+            return {"name": "notfound", "type": STRING, "description": "Field not found", "topTerms": []}
+        terms = [r["term"] for r in self.top_terms(dataset, f.name).collect()]
+        return {"name": f.name, "type": f.kind, "description": f.description, "topTerms": terms}
+
     def top_terms(self, dataset: Dataset, name: str, k: int = TOP_TERMS) -> DataFrame:
         f = dataset.fields.get(name)
         if f is None or f.kind != STRING:
-            return self.spark.createDataFrame([("notfound", 0)], "term string, rows long")
+            return self.spark.createDataFrame([], "term string, rows long")
         terms = dataset.terms(f)
         terms = F.explode(F.array_distinct(terms)) if dataset.has_many(f) else terms
         counts = dataset.df.select(terms.alias("term")).filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("rows"))

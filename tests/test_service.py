@@ -88,8 +88,14 @@ def test_replaced_files_are_read_again(spark, tmp_path):
     assert own.cache_key(statement) != first
 
 
-def test_unknown_field_is_described_as_not_found(engine):
-    assert [tuple(r) for r in engine.describe("d", "nothing").collect()] == [("notfound", 0)]
+def test_described_as_values(engine):
+    assert engine.query("describe d.nothing").count() == 0
+    assert engine.described("describe d.nothing")["name"] == "notfound"
+    assert engine.described("describe d.k")["topTerms"] == ["a", "b"]
+    assert [f["name"] for f in engine.described("describe d")["fields"]] == ["time", "k", "n"]
+    assert engine.described("show tables") == {"datasets": [{"name": "d", "description": engine.catalog.find("d").description}]}
+    with pytest.raises(QueryError):
+        engine.described(Q)
 
 
 def test_missing_hours_beyond_any_bound(spark):
