@@ -40,32 +40,26 @@ PER_EDIT = 10
 BLANK = " \t\r\f\x0b"
 
 
-def segments(length: Column, k: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each segment."""
-    short = F.floor(length / (k + 1)).cast("int")
-    longer = (length % (k + 1)).cast("int")
+def places(k: int, probe: bool) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment, shift) of the keys of a line in a band of distance k."""
     out = []
-    for i in range(k + 1):
-        # The first k + 1 - longer segments have the short length.
-        extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(k + 1) - longer))
-        out.append(((short * i + extra + 1).cast("int"), (short + (F.lit(i) >= F.lit(k + 1) - longer).cast("int")).cast("int")))
+    for d in range(k + 1 if probe else 1):
+        for i in range(k + 1):
+            low, high = (max(-i, d - (k - i)), min(i, d + (k - i))) if probe else (0, 0)
+            out += [(d, i, s) for s in range(low, high + 1)]
     return out
 
 
-def index_keys(part, length: Column, k: int) -> list[Column]:
-    """``part(start, n)`` gives a part of the line, start counted from 1."""
-    return [F.xxhash64(length, F.lit(i), part(p, n)) for i, (p, n) in enumerate(segments(length, k))]
+def band_keys(tag: int, cut: str, sign: str, length: str, k: int, probe: bool) -> Column:
+    """Keys of a line's parts, by a loop over ``places``: written out one by one they would be more code than the JVM compiles."""
+    listed = F.expr("array(" + ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in places(k, probe)) + ")")
 
+    def key(t: Column) -> Column:
+        own = F.col(length) - t["d"]
+        start, end = (F.call_function("div", own * i, F.lit(k + 1)).cast("int") for i in (t["i"], t["i"] + 1))
+        return F.xxhash64(F.lit(tag), own, t["i"], F.call_function(cut, F.col(sign), start + t["s"] + 1, end - start))
 
-def probe_keys(part, length: Column, k: int) -> list[Column]:
-    """Keys of what can equal a segment of a line of the same length or up to k less."""
-    out = []
-    for d in range(k + 1):
-        own = length - d
-        for i, (p, n) in enumerate(segments(own, k)):
-            low, high = max(-i, d - (k - i)), min(i, d + (k - i))
-            out += [F.xxhash64(own, F.lit(i), part(p + F.lit(s), n)) for s in range(low, high + 1)]
-    return out
+    return F.transform(listed, key)
 
 
 def _packed(counts: list[Column]) -> list[Column]:
@@ -198,30 +192,24 @@ class LineDedup:
         found = found.withColumn("head", F.when(F.col("n_words") < self.min_words + self.k, F.col("line")))
         return scratch.materialize(found.withColumn("codes", F.when(F.col("n_words") >= self.min_words, F.col("codes"))), "lines")
 
-    def _keys(self, keys, longer: bool) -> DataFrame:
-        """(id, docs, key) of all lines, by ``keys(part, length, k)`` for the bands of one distance each that a line's length lies in.
+    def _keys(self, probe: bool) -> DataFrame:
+        """(id, docs, key) of all lines, for the bands of one distance each that a line's length lies in.
 
-        A line as much as k ``longer`` than a band's belongs to it too.
+        For the probe, a line as much as k longer than a band's belongs to it too.
         """
         rows = self.lines.select("id", "docs", "head", F.length("head").cast("int").alias("n"), "codes", "n_words")
-        none = F.array().cast("array<bigint>")
         bands = []
-        for sign, n in ((F.col("head"), F.col("n")), (F.col("codes"), F.col("n_words"))):
-            part = (lambda p, m: F.call_function("substring", F.col("head"), p, m)) if not bands else (lambda p, m: F.slice("codes", p, m))
+        for cut, sign, length in (("substring", "head", "n"), ("slice", "codes", "n_words")):
             for k in range(1, self.k + 1):
-                held = sign.isNotNull() & (n >= PER_EDIT * k)
+                held = F.col(sign).isNotNull() & (F.col(length) >= PER_EDIT * k)
                 if k < self.k:
-                    held = held & (n < PER_EDIT * (k + 1) + (k if longer else 0))
-                found = [F.xxhash64(F.lit(len(bands)), key) for key in keys(part, n, k)]
-                bands.append(F.when(held, F.array(*found)).otherwise(none))
-        # The keys in a projection of their own: there common parts are computed once.
-        rows = rows.select("id", "docs", *[b.alias(f"band{i}") for i, b in enumerate(bands)])
-        every = F.concat(*[F.col(f"band{i}") for i in range(len(bands))])
-        return rows.select("id", "docs", F.explode(F.array_distinct(every)).alias("key"))
+                    held = held & (F.col(length) < PER_EDIT * (k + 1) + k * probe)
+                bands.append(F.when(held, band_keys(len(bands), cut, sign, length, k, probe)).otherwise(F.array().cast("array<bigint>")))
+        return rows.select("id", "docs", F.explode(F.array_distinct(F.concat(*bands))).alias("key"))
 
     def _met(self) -> DataFrame:
         """(a, b, key): lines a that share a key with b; the key if it is hot, else null."""
-        index = scratch.materialize(self._keys(index_keys, False), "line-index")
+        index = scratch.materialize(self._keys(False), "line-index")
         held = index.groupBy("key").agg(
             F.count(F.lit(1)).alias("held"), F.expr("max_by(id, docs)").alias("p1"), F.min("id").alias("p2"), F.max("id").alias("p3")
         )
@@ -229,7 +217,7 @@ class LineDedup:
         self.crowd = scratch.materialize(index.join(scratch.sized(hot.select("key")), "key", "left_semi").select("key", "id"), "line-crowd")
         calm = index.join(scratch.sized(hot.select("key")), "key", "left_anti").select("key", F.col("id").alias("b"), F.lit(False).alias("hot"))
         pivots = hot.select("key", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b"), F.lit(True).alias("hot"))
-        probe = self._keys(probe_keys, True).select(F.col("id").alias("a"), "key")
+        probe = self._keys(True).select(F.col("id").alias("a"), "key")
         met = probe.join(calm.unionByName(pivots), "key").filter(F.col("hot") | (F.col("a") != F.col("b")))
         return scratch.materialize(met.select("a", "b", F.when(F.col("hot"), F.col("key")).alias("key")), "line-met")
 
