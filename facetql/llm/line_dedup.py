@@ -195,7 +195,7 @@ class LineDedup:
     def _keys(self, probe: bool) -> DataFrame:
         """(id, docs, key) of all lines, for the bands of one distance each that a line's length lies in.
 
-        For the probe, a line as much as k longer than a band's belongs to it too.
+        For the probe, a line as much as k longer than a band's belongs to it too.  A repetitive line may have a key twice.
         """
         rows = self.lines.select("id", "docs", "head", F.length("head").cast("int").alias("n"), "codes", "n_words")
         bands = []
@@ -205,7 +205,7 @@ class LineDedup:
                 if k < self.k:
                     held = held & (F.col(length) < PER_EDIT * (k + 1) + k * probe)
                 bands.append(F.when(held, band_keys(len(bands), cut, sign, length, k, probe)).otherwise(F.array().cast("array<bigint>")))
-        return rows.select("id", "docs", F.explode(F.array_distinct(F.concat(*bands))).alias("key"))
+        return rows.select("id", "docs", F.explode(F.concat(*bands)).alias("key"))
 
     def _met(self) -> DataFrame:
         """(a, b, key): lines a that share a key with b; the key if it is hot, else null."""
