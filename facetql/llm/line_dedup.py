@@ -50,16 +50,18 @@ def places(k: int, probe: bool) -> list[tuple[int, int, int]]:
     return out
 
 
-def band_keys(tag: int, cut: str, sign: str, length: str, k: int, probe: bool) -> Column:
-    """Keys of a line's parts, by a loop over ``places``: written out one by one they would be more code than the JVM compiles."""
-    listed = F.expr("array(" + ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in places(k, probe)) + ")")
+def band_places(band: int, by_words: bool, k: int, probe: bool) -> Column:
+    """``places`` as an array of structs, with the band's number and the symbols it is compared by."""
+    listed = (f"named_struct('band', {band}, 'words', {by_words}, 'k', {k}, 'd', {d}, 'i', {i}, 's', {s})" for d, i, s in places(k, probe))
+    return F.expr(f"array({', '.join(listed)})")
 
-    def key(t: Column) -> Column:
-        own = F.col(length) - t["d"]
-        start, end = (F.call_function("div", own * i, F.lit(k + 1)).cast("int") for i in (t["i"], t["i"] + 1))
-        return F.xxhash64(F.lit(tag), own, t["i"], F.call_function(cut, F.col(sign), start + t["s"] + 1, end - start))
 
-    return F.transform(listed, key)
+def key_at(t: Column) -> Column:
+    """The key of a line's part: of a row that has the line's columns and a place t, so that generated code makes it."""
+    own = F.when(t["words"], F.col("n_words")).otherwise(F.col("n")) - t["d"]
+    start, end = (F.call_function("div", own * i, t["k"] + 1).cast("int") for i in (t["i"], t["i"] + 1))
+    cut = lambda how, sign: F.xxhash64(t["band"], own, t["i"], F.call_function(how, F.col(sign), start + t["s"] + 1, end - start))
+    return F.when(t["words"], cut("slice", "codes")).otherwise(cut("substring", "head"))
 
 
 def _packed(counts: list[Column]) -> list[Column]:
@@ -199,13 +201,14 @@ class LineDedup:
         """
         rows = self.lines.select("id", "docs", "head", F.length("head").cast("int").alias("n"), "codes", "n_words")
         bands = []
-        for cut, sign, length in (("substring", "head", "n"), ("slice", "codes", "n_words")):
+        for by_words, sign, length in ((False, "head", "n"), (True, "codes", "n_words")):
             for k in range(1, self.k + 1):
                 held = F.col(sign).isNotNull() & (F.col(length) >= PER_EDIT * k)
                 if k < self.k:
                     held = held & (F.col(length) < PER_EDIT * (k + 1) + k * probe)
-                bands.append(F.when(held, band_keys(len(bands), cut, sign, length, k, probe)).otherwise(F.array().cast("array<bigint>")))
-        return rows.select("id", "docs", F.explode(F.concat(*bands)).alias("key"))
+                listed = band_places(len(bands), by_words, k, probe)
+                bands.append(F.when(held, listed).otherwise(F.slice(listed, 1, 0)))
+        return rows.withColumn("t", F.explode(F.concat(*bands))).select("id", "docs", key_at(F.col("t")).alias("key"))
 
     def _met(self) -> DataFrame:
         """(a, b, key): lines a that share a key with b; the key if it is hot, else null."""
