@@ -14,12 +14,17 @@ a key's ids with a constant number of reads:
 Tasks write under a temporary name and move the file into place, so a task that runs twice leaves one
 file.  Rows with null keys come first and are found by scanning only; repeated keys share a slot that
 points at the first of their adjacent rows.  Null text counts as empty.
+
+The manifest has the least and the greatest key of each shard, so a key names its shard, and ``ShardFile``
+finds the key there by seeks: footer (once a file), displacement, slot, key, ends, ids.  ``read_keys`` gives
+the documents of a table of keys that way, ``read_shards`` those of all keys, by the rows the index names.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,8 @@ MAGIC = b"FQIDS001"
 FOOTER = struct.Struct("<QQQQQI4x")  # documents, ids, keys, buckets, seed, bytes per id
 KEYS_PER_BUCKET = 4
 ROUNDS = 2000
+IDS_PER_BATCH = 1 << 20
+RUN = 512
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -143,27 +150,42 @@ class ShardWriter:
         self.stream.write(FOOTER.pack(len(keys), self.ends[-1], len(first), len(shift), seed, self.width))
 
 
+def _parts(n_docs: int, n_ids: int, n_keys: int, n_buckets: int, width: int) -> tuple[dict[str, tuple[np.dtype, int, int]], int]:
+    """(type, offset, length) of each part of a shard, and where the footer begins."""
+    parts, at = {}, len(MAGIC)
+    for name, kind, count in (
+        ("payload", f"<u{width}", n_ids),
+        ("keys", "<i8", n_docs),
+        ("null", "u1", n_docs),
+        ("ends", "<u8", n_docs + 1),
+        ("shift", "<i8", n_buckets),
+        ("slots", [("mark", "<u4"), ("row", "<u4")], n_keys),
+    ):
+        parts[name] = np.dtype(kind), at, count
+        at += parts[name][0].itemsize * count
+    return parts, at
+
+
+def _opened(size: int, read_at) -> tuple[int, dict[str, tuple[np.dtype, int, int]]]:
+    """Seed and parts of a shard of so many bytes, by its footer; ``read_at`` takes a length and an offset."""
+    if size < len(MAGIC) + FOOTER.size or read_at(len(MAGIC), 0) != MAGIC:
+        raise ValueError("not a token shard")
+    n_docs, n_ids, n_keys, n_buckets, seed, width = FOOTER.unpack(read_at(FOOTER.size, size - FOOTER.size))
+    parts, end = _parts(n_docs, n_ids, n_keys, n_buckets, width)
+    if end != size - FOOTER.size:
+        raise ValueError("token shard of wrong length")
+    return seed, parts
+
+
 class Shard:
-    """A shard's bytes, opened for keyed access or a scan."""
+    """A shard's bytes, opened for a scan and for many keys at once."""
 
     def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
-            raise ValueError("not a token shard")
-        self.n_docs, self.n_ids, n_keys, n_buckets, self.seed, width = FOOTER.unpack(data[-FOOTER.size :])
-        at = len(MAGIC)
-
-        def take(kind, count: int) -> np.ndarray:
-            nonlocal at
-            part = np.frombuffer(data, kind, count, at)
-            at += part.nbytes
-            return part
-
-        self.payload = take(f"<u{width}", self.n_ids)
-        self.keys, self.null, self.ends = take("<i8", self.n_docs), take(np.uint8, self.n_docs), take("<u8", self.n_docs + 1)
-        self.shift = take("<i8", n_buckets)
-        self.slots = take([("mark", "<u4"), ("row", "<u4")], n_keys)
-        if at != len(data) - FOOTER.size:
-            raise ValueError("token shard of wrong length")
+        self.seed, parts = _opened(len(data), lambda n, at: data[at : at + n])
+        self.payload, self.keys, self.null, self.ends, self.shift, self.slots = (
+            np.frombuffer(data, kind, count, at) for kind, at, count in parts.values()
+        )
+        self.n_docs, self.n_ids = len(self.keys), len(self.payload)
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
         """First row of each key, -1 where the shard doesn't hold it."""
@@ -179,14 +201,56 @@ class Shard:
         row = self.slots["row"][slot].astype(np.int64)
         return np.where((self.slots["mark"][slot] == mark) & (self.keys[row] == keys), row, -1)
 
-    def get(self, key: int) -> np.ndarray | None:
-        row = int(self.rows(np.array([key]))[0])
-        return None if row < 0 else self.ids(row)
+    def places(self) -> np.ndarray:
+        """The row of each document: of keys that one row has, where the index finds it; null and repeated keys are scanned."""
+        place, keyed = np.arange(self.n_docs), self.null == 0
+        rows = self.rows(self.keys)
+        if (rows[keyed] < 0).any():
+            raise ValueError("a key isn't found through the index")
+        single = keyed & (np.bincount(rows[keyed], minlength=self.n_docs)[rows] == 1)
+        place[single] = rows[single]
+        return place
 
     def ids(self, row: int) -> np.ndarray:
         return self.payload[int(self.ends[row]) : int(self.ends[row + 1])]
 
 
+class ShardFile:
+    """A shard opened for keyed access: a key takes the same few small reads however large the shard is."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+        self.seed, self.parts = _opened(file.size(), file.read_at)
+
+    def _read(self, part: str, first: int, count: int = 1) -> np.ndarray:
+        kind, at, _ = self.parts[part]
+        return np.frombuffer(self.file.read_at(kind.itemsize * count, at + kind.itemsize * first), kind, count)
+
+    def row(self, key: int) -> int:
+        """First row of the key, -1 if the shard doesn't hold it."""
+        n, buckets = self.parts["slots"][2], self.parts["shift"][2]
+        if not n:
+            return -1
+        keys = np.array([key], np.int64)
+        bucket, f, g, mark = (int(x[0]) for x in _places_of(_mix(keys, self.seed), _mix(keys, self.seed + 1_000_003), np.uint64(n), buckets))
+        d = int(self._read("shift", bucket)[0])
+        slot = self._read("slots", -1 - d if d < 0 else (f + d // n * g + d % n) % n)[0]
+        row = int(slot["row"])
+        return row if int(slot["mark"]) == mark and int(self._read("keys", row)[0]) == key else -1
+
+    def get(self, key: int) -> list[tuple[int, np.ndarray]]:
+        """(first id, ids) of each document of the key; further rows of a repeated key stand next to the first."""
+        row, out = self.row(key), []
+        while 0 <= row < self.parts["keys"][2]:
+            run = self._read("keys", row, min(RUN if out else 2, self.parts["keys"][2] - row))
+            other = np.flatnonzero(run != key)
+            count = int(other[0]) if len(other) else len(run)
+            ends = self._read("ends", row, count + 1).tolist()
+            out += [(a, self._read("payload", a, b - a)) for a, b in zip(ends, ends[1:])]
+            row = row + count if count == len(run) else -1
+        return out
+
+
 def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write the shards below ``directory`` (shared by all executors); the manifest, in key order.
 
@@ -201,6 +265,8 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int, i
         fs, base = scratch.filesystem(directory)
         own = f"{base}/.{name}.{task.taskAttemptId()}"
         for batch in batches:
+            if not batch.num_rows:
+                continue
             if writer is None:
                 fs.create_dir(base)
                 writer = ShardWriter(fs.open_output_stream(own), enc.dtype.itemsize)
@@ -210,16 +276,17 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int, i
             writer.finish()
             writer.stream.close()
             fs.move(own, f"{base}/{name}")
-            yield pa.RecordBatch.from_pydict(
-                {"shard": [task.partitionId()], "file": [name], "n_docs": [len(writer.keys)], "n_ids": [writer.ends[-1]]}
-            )
+            held = [k for k in (next((k for k in writer.keys if k is not None), None), writer.keys[-1]) if k is not None]
+            about = {"shard": task.partitionId(), "file": name, "n_docs": len(writer.keys), "n_ids": writer.ends[-1]}
+            about |= {"first_key": held[0] if held else None, "last_key": held[-1] if held else None}
+            yield pa.RecordBatch.from_pylist([about], pa.schema([(c, pa.string() if c == "file" else pa.int64()) for c in about]))
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
         .repartitionByRange(F.col("k").asc_nulls_first())
         .sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     )
-    written = ordered.mapInArrow(write, "shard long, file string, n_docs long, n_ids long").collect()
+    written = ordered.mapInArrow(write, "shard long, file string, n_docs long, n_ids long, first_key long, last_key long").collect()
     manifest, start = [], 0
     for row in sorted(written, key=lambda r: r["shard"]):
         manifest.append(row.asDict() | {"start": start, "directory": directory})
@@ -241,22 +308,62 @@ def read_shards(spark: SparkSession, manifest: list[dict], with_ids: bool = Fals
                 fs, base = scratch.filesystem(entry["directory"])
                 with fs.open_input_stream(f"{base}/{entry['file']}") as f:
                     shard = Shard(f.read())
-                keyed = shard.null == 0
-                rows = shard.rows(shard.keys)
-                if (rows[keyed] < 0).any() or (shard.keys[rows[keyed]] != shard.keys[keyed]).any():
-                    raise ValueError(f"{entry['file']}: a key isn't found through the index")
-                ends = shard.ends.astype(np.int64)
+                place, ends = shard.places(), shard.ends.astype(np.int64)
                 out = {
                     "doc_id": pa.array(shard.keys, mask=shard.null.astype(bool)),
-                    "start": pa.array(ends[:-1] + entry["start"]),
-                    "n_tokens": pa.array(np.diff(ends)),
-                    "ids_crc32": pa.array([crc32_of_ids(shard.ids(i)) for i in range(shard.n_docs)], pa.int64()),
+                    "start": pa.array(ends[place] + entry["start"]),
+                    "n_tokens": pa.array(np.diff(ends)[place]),
+                    "ids_crc32": pa.array([crc32_of_ids(shard.ids(i)) for i in place], pa.int64()),
                 }
                 if with_ids:
-                    out["ids"] = pa.array([shard.ids(i).astype(np.int32) for i in range(shard.n_docs)], pa.list_(pa.int32()))
+                    out["ids"] = pa.array([shard.ids(i).astype(np.int32) for i in place], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
     entries = spark.createDataFrame(
         [(m["directory"], m["file"], m["start"]) for m in manifest], "directory string, file string, start long"
     )
     return entries.repartition(max(1, len(manifest))).mapInArrow(read, schema)
+
+
+def read_keys(manifest: list[dict], keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """The documents of a table of keys, read by seeks: doc_id, start, n_tokens, ids_crc32, ids.
+
+    One row per row of ``keys`` and document of that key, as many as the shards hold; a null key and a key that
+    no shard holds give none.  A task opens a shard once a batch and never loads it whole.
+    """
+    held = sorted((m for m in manifest if m["first_key"] is not None), key=lambda m: m["first_key"])
+    last = [m["last_key"] for m in held]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    types = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.list_(pa.int32())])))
+
+    def found(wanted: list[int]) -> Iterator[dict]:
+        shard = opened = None
+        try:
+            for key in sorted(wanted):
+                at = bisect_left(last, key)
+                if at == len(held) or key < held[at]["first_key"]:
+                    continue
+                if at != shard:
+                    if opened:
+                        opened.file.close()
+                    fs, base = scratch.filesystem(held[at]["directory"])
+                    shard, opened = at, ShardFile(fs.open_input_file(f"{base}/{held[at]['file']}"))
+                for first, ids in opened.get(key):
+                    values = key, held[at]["start"] + first, len(ids), crc32_of_ids(ids), ids.astype(np.int32)
+                    yield dict(zip(names, values))
+        finally:
+            if opened:
+                opened.file.close()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, total = [], 0
+            for row in found([k for k in batch.column(0).to_pylist() if k is not None]):
+                rows.append(row)
+                total += row["n_tokens"]
+                if total >= IDS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, types)
+                    rows, total = [], 0
+            yield pa.RecordBatch.from_pylist(rows, types)
+
+    return keys.select(F.col(key_col).cast("long")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")

@@ -12,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,8 +66,10 @@ def test_shard_round_trip():
     for key, ids in rows:
         writer.add(key, np.array(ids, "<u2").tobytes())
     writer.finish()
-    shard = token_shards.Shard(out.getvalue())
-    assert shard.get(-5).tolist() == [3] and shard.get(7).tolist() == [] and shard.get(9).tolist() == [5] and shard.get(8) is None
+    shard, file = token_shards.Shard(out.getvalue()), token_shards.ShardFile(pa.BufferReader(out.getvalue()))
+    got = {key: [(first, ids.tolist()) for first, ids in file.get(key)] for key in (-5, 0, 7, 8, 9)}
+    assert got == {-5: [(2, [3])], 0: [], 7: [(3, []), (3, [4, 4])], 8: [], 9: [(5, [5])]}
+    assert shard.places().tolist() == [0, 1, 2, 3, 4]
     assert [shard.ids(i).tolist() for i in range(shard.n_docs)] == [ids for _, ids in rows]
     with pytest.raises(ValueError):
         token_shards.Shard(out.getvalue()[8:])
@@ -85,6 +88,59 @@ def test_shards_same_as_brute_force(spark):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-40, 40)), st.integers(0, 5)), max_size=60), st.sets(st.integers(-45, 45)))
+@settings(max_examples=60, deadline=None)
+def test_keyed_reads_same_as_scan(docs, wanted):
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    out, want, start = io.BytesIO(), {}, 0
+    writer = token_shards.ShardWriter(out, 4)
+    for i, (key, n) in enumerate(docs):
+        writer.add(key, np.full(n, i, "<u4").tobytes())
+        want.setdefault(key, []).append((start, [i] * n))
+        start += n
+    writer.finish()
+    file = token_shards.ShardFile(pa.BufferReader(out.getvalue()))
+    for key in wanted:
+        assert [(first, ids.tolist()) for first, ids in file.get(key)] == want.get(key, [])
+    assert token_shards.Shard(out.getvalue()).places().tolist() == list(range(len(docs)))
+
+
+def test_a_key_takes_as_many_reads_in_any_shard():
+    class Counted:
+        def __init__(self, data):
+            self.data, self.reads = data, []
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            self.reads.append(n)
+            return self.data[at : at + n]
+
+    seen = []
+    for n in (10, 5000):
+        out = io.BytesIO()
+        writer = token_shards.ShardWriter(out, 2)
+        for key in range(n):
+            writer.add(3 * key, np.array([key % 7] * 4, "<u2").tobytes())
+        writer.finish()
+        file = Counted(out.getvalue())
+        assert token_shards.ShardFile(file).get(12)[0][0] == 16
+        seen.append(file.reads)
+    assert seen[0] == seen[1] and sum(seen[0]) < 200
+
+
+def test_documents_by_key(spark):
+    rows = [(k % 50 - 20, f"text {k}") for k in range(60)] + [(None, "no key"), (2**40, None)]
+    manifest = token_shards.write_shards(docs_of(spark, rows, partitions=3), scratch.new_path(spark, "t"), BYTE, 2)
+    every = token_shards.read_shards(spark, manifest, with_ids=True).collect()
+    assert len(every) == len(rows)
+    keys = [None, 2**40, -20, -20, 7, 99, 2**50]
+    got = token_shards.read_keys(manifest, spark.createDataFrame([(k,) for k in keys], "doc_id long")).collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for k in keys if k is not None for r in every if r["doc_id"] == k)
+    assert token_shards.read_keys([], spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
 def test_no_documents_no_shards(spark):
     manifest = token_shards.write_shards(docs_of(spark, []), scratch.new_path(spark, "t"), BYTE, 2)
     assert manifest == [] and token_shards.read_shards(spark, manifest).count() == 0
