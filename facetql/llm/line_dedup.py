@@ -16,9 +16,14 @@ that of the smallest document id, there the first one.
    characters, what two lines have in common at both ends is taken off first.  The band's 2k + 1 cells of a column are bits
    of one number; a column costs a few word operations.  It runs as an ``aggregate`` over the symbols.
 5. Components of the links (see ``components``).
-6. Lines of a hot key outside the component that most of its lines are in then meet all lines of the key in other
-   components, behind a filter of counts (16 classes of symbols, of which 2k counts at most can differ); what links is
-   added.  That leaves no link between two components unseen.
+6. Lines of a hot key outside the component that most of its lines are in are outsiders; other components of the key may
+   still link with them.  They meet by finer keys: k edits spoil at most qk of a line's different runs of q symbols, so of
+   the first qk + r runs of two such lines, in one order for all, at least r are the same.  The order puts runs that no
+   pivot of the key has first, so what a line shares with the whole key does not count while it has enough of its own.
+   An outsider chooses between single words and pairs of neighbours (r = 1); characters go by pairs, two at once (r = 2).
+7. A finer key of more than ``HOT`` lines has three pivots again.  Whatever lines of a finer key are then in different
+   components meet behind a filter of counts (16 classes of symbols, of which 2k counts at most can differ).  That leaves
+   no link between two components unseen.
 
 Documents are told apart by id and text.  Rows equal in both are one document: the first of them has its counts, the
 others keep nothing, and ``texts`` has it once.  Null ids come last in the order of documents; among equal ids the text's
@@ -57,11 +62,34 @@ def band_places(band: int, by_words: bool, k: int, probe: bool) -> Column:
 
 
 def key_at(t: Column) -> Column:
-    """The key of a line's part: of a row that has the line's columns and a place t, so that generated code makes it."""
+    """The key of a line's part: of a row that has the line's columns and a place t, so that generated code makes it.
+
+    Its lowest bit tells words from characters.
+    """
     own = F.when(t["words"], F.col("n_words")).otherwise(F.col("n")) - t["d"]
     start, end = (F.call_function("div", own * i, t["k"] + 1).cast("int") for i in (t["i"], t["i"] + 1))
     cut = lambda how, sign: F.xxhash64(t["band"], own, t["i"], F.call_function(how, F.col(sign), start + t["s"] + 1, end - start))
-    return F.when(t["words"], cut("slice", "codes")).otherwise(cut("substring", "head"))
+    return F.when(t["words"], cut("slice", "codes").bitwiseOR(F.lit(1))).otherwise(cut("substring", "head").bitwiseAND(F.lit(-2)))
+
+
+def pairs_of(symbols: Column) -> Column:
+    """Hashes of the different pairs of neighbours, the last one with nothing."""
+    return F.array_distinct(F.zip_with(symbols, F.slice(symbols, F.lit(2), F.size(symbols)), lambda x, y: F.xxhash64(x, y)))
+
+
+def finer_keys(q: int, runs: Column, usual: Column, most: Column, together: int) -> Column:
+    """Keys of a line under a hot key: lines of at most ``most`` edits that have the key share one of them.
+
+    They are made of its first runs of q symbols, those that aren't usual first, ``together`` at once.  A line of too few
+    different runs has one key more, which all such lines have.
+    """
+    ordered = F.concat(F.sort_array(F.array_except(runs, usual)), F.sort_array(F.array_intersect(runs, usual)))
+    first = F.slice(ordered, F.lit(1), most * q + together)
+    keys = F.transform(first, lambda x: F.xxhash64(F.col("key"), F.lit(q), x))
+    if together == 2:
+        keys = let(keys, lambda own: F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda y: F.xxhash64(x, y)))))
+    few = F.when(F.size(runs) < most * q + together, F.array(F.xxhash64(F.col("key"), F.lit(-q)))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(keys, few)
 
 
 def _packed(counts: list[Column]) -> list[Column]:
@@ -219,37 +247,85 @@ class LineDedup:
         hot = scratch.materialize(held.filter(F.col("held") > self.hot).drop("held"), "line-hot")
         self.crowd = scratch.materialize(index.join(scratch.sized(hot.select("key")), "key", "left_semi").select("key", "id"), "line-crowd")
         calm = index.join(scratch.sized(hot.select("key")), "key", "left_anti").select("key", F.col("id").alias("b"), F.lit(False).alias("hot"))
-        pivots = hot.select("key", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b"), F.lit(True).alias("hot"))
+        self.pivots = hot.select("key", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b"))
+        pivots = self.pivots.withColumn("hot", F.lit(True))
         probe = self._keys(True).select(F.col("id").alias("a"), "key")
         met = probe.join(calm.unionByName(pivots), "key").filter(F.col("hot") | (F.col("a") != F.col("b")))
         return scratch.materialize(met.select("a", "b", F.when(F.col("hot"), F.col("key")).alias("key")), "line-met")
 
-    def _outside(self, met: DataFrame, links: DataFrame) -> DataFrame | None:
-        """Pairs of lines of a hot key that are in different components, one of them not in the key's main one."""
-        probe = met.filter("key is not null").select("key", F.col("a").alias("id")).distinct()
-        linked = scratch.materialize(connected_components(links), "line-components")
-        linked = scratch.sized(linked.withColumnRenamed("node", "id"))
-        named = lambda rows: rows.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-        probe, index = (scratch.materialize(named(rows), "line-named") for rows in (probe, self.crowd))
-        counts = probe.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
+    def _labelled(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows (key, id, ...) of keys whose lines are in several components, with their component and the key's main one."""
+        linked = scratch.sized(scratch.materialize(connected_components(links), "line-components").withColumnRenamed("node", "id"))
+        rows = rows.join(linked, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        rows = scratch.materialize(rows, "line-named")
+        counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
         main = counts.groupBy("key").agg(F.expr("max_by(label, held)").alias("main"), F.count(F.lit(1)).alias("labels"))
-        main = scratch.sized(scratch.materialize(main.filter("labels > 1").drop("labels"), "line-main"))
-        probe, index = (rows.join(main, "key") for rows in (probe, index))
-        counts = self._counted(probe.select("id").unionByName(index.select("id")))
-        probe, index = (scratch.materialize(rows.join(counts, "id"), "line-outside") for rows in (probe, index))
-        if probe.isEmpty():
-            return None
+        return rows.join(scratch.sized(scratch.materialize(main.filter("labels > 1").drop("labels"), "line-main")), "key")
+
+    def _finer(self, met: DataFrame, links: DataFrame) -> DataFrame:
+        """(key, id, label, held, chose) by finer keys; held: the line has the hot key itself; chose: an outsider that goes by this key."""
+        held = self.crowd.withColumn("held", F.lit(True))
+        rows = met.filter("key is not null").select("key", F.col("a").alias("id")).distinct().join(held, ["key", "id"], "left")
+        rows = scratch.materialize(self._labelled(rows.withColumn("held", F.col("held").isNotNull()), links), "line-outside")
+        pivots = self.pivots.join(scratch.sized(rows.select("key").distinct()), "key", "left_semi")
+        runs = self._runs(rows.select("id").unionByName(pivots.select(F.col("b").alias("id"))))
+        kinds = ("w1", "w2", "c2")
+        usual = pivots.join(runs, F.col("b") == F.col("id")).groupBy("key")
+        usual = usual.agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(f"usual_{c}") for c in kinds])
+        usual = scratch.sized(scratch.materialize(usual, "line-usual"), 1000)
+        rows = rows.join(runs, "id").join(usual, "key")
+        by_words = F.col("key").bitwiseAND(F.lit(1)) == 1
+        own = lambda c: F.size(F.array_except(c, f"usual_{c}"))
+        single = by_words & (own("w2") <= 2 * F.col("most_w")) & (own("w1") > F.col("most_w"))
+        none = F.array().cast("array<bigint>")
+        ones = F.when(by_words, finer_keys(1, F.col("w1"), F.col("usual_w1"), F.col("most_w"), 1)).otherwise(none)
+        twos = F.when(by_words, finer_keys(2, F.col("w2"), F.col("usual_w2"), F.col("most_w"), 1))
+        twos = twos.otherwise(finer_keys(2, F.col("c2"), F.col("usual_c2"), F.col("most_c"), 2))
+        rows = rows.select("id", "label", "held", (F.col("label") != F.col("main")).alias("out"), single.alias("single"), ones.alias("ones"), twos.alias("twos"))
+        told = lambda keys, chosen: F.transform(keys, lambda x: F.struct(x.alias("key"), (F.col("out") & chosen).alias("chose")))
+        rows = rows.select("id", "label", "held", F.explode(F.concat(told("ones", F.col("single")), told("twos", ~F.col("single")))).alias("t"))
+        return scratch.materialize(rows.select("t.key", "id", "label", "held", "t.chose"), "line-finer")
+
+    def _outside(self, met: DataFrame, links: DataFrame) -> DataFrame:
+        """Links of lines of a hot key that are in different components."""
+        rows = self._finer(met, links)
+        own = F.struct("id", "label")
+        held = rows.join(scratch.sized(self._texts(rows.select("id"), "docs")), "id").groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.max("chose").alias("chose"), F.max_by(own, F.col("docs")).alias("p1"), F.min(own).alias("p2"), F.max(own).alias("p3")
+        )
+        # A key of one line, or that no outsider goes by, tells nothing.
+        held = scratch.materialize(held.filter("n > 1 and chose").drop("chose"), "line-finer-keys")
+        rows = scratch.materialize(rows.join(scratch.sized(held.select("key")), "key", "left_semi"), "line-finer")
+        if rows.isEmpty():
+            return links
+        pivots = held.filter(F.col("n") > self.hot).select("key", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b"))
+        starred = rows.join(scratch.sized(pivots), "key").filter(F.col("label") != F.col("b.label"))
+        links = links.unionByName(scratch.materialize(self._near(starred.select(F.col("id").alias("a"), F.col("b.id").alias("b"))), "line-links"))
+        rows = rows.drop("label")
+        rows = self._labelled(rows, links)
+        rows = scratch.materialize(rows.join(self._counted(rows.select("id")), "id"), "line-outside")
         found = None
-        for one, other in ((probe.filter("label <> main"), index), (probe.filter("label = main"), index.filter("label <> main"))):
+        chose = rows.filter("chose")
+        for one, other in ((chose.filter("label <> main"), rows), (chose.filter("label = main"), rows.filter("label <> main"))):
             p, x = one.alias("p"), other.alias("x")
-            on = (F.col("p.key") == F.col("x.key")) & (F.col("p.label") != F.col("x.label"))
+            on = (F.col("p.key") == F.col("x.key")) & (F.col("p.label") != F.col("x.label")) & (F.col("p.held") | F.col("x.held"))
             for kind in "wc":
                 gap = count_gap([F.col(f"p.{kind}1"), F.col(f"p.{kind}2")], [F.col(f"x.{kind}1"), F.col(f"x.{kind}2")])
                 # No counts: the line isn't compared by such symbols.
                 on = on & (F.coalesce(gap, F.lit(0)) <= 2 * self.k)
             pairs = p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b"))
             found = pairs if found is None else found.unionByName(pairs)
-        return found
+        return links.unionByName(self._near(found))
+
+    def _runs(self, ids: DataFrame) -> DataFrame:
+        """(id, most_w, w1, w2, most_c, c2): the most edits of words and of characters, the different words, pairs of words and of characters."""
+        rows = self._texts(ids, "head", "codes", "n_words")
+        most = lambda n: F.least(F.lit(self.k), F.floor(n / PER_EDIT)).cast("int")
+        single = F.array_distinct(F.transform("codes", lambda c: c.cast("long")))
+        rows = rows.select(
+            "id", most(F.col("n_words")).alias("most_w"), single.alias("w1"), pairs_of(F.col("codes")).alias("w2"), most(F.length("head")).alias("most_c"), pairs_of(chars(F.col("head"))).alias("c2")
+        )
+        return scratch.materialize(rows, "line-runs")
 
     def _texts(self, ids: DataFrame, *columns: str) -> DataFrame:
         """(id, *columns) of the lines asked for."""
@@ -267,10 +343,7 @@ class LineDedup:
         """Verified pairs (a, b), enough of them to connect whatever links."""
         met = self._met()
         first = scratch.materialize(self._near(met.filter("a <> b").select("a", "b")), "line-links")
-        if self.crowd.isEmpty():
-            return first
-        more = self._outside(met, first)
-        return first if more is None else scratch.materialize(first.unionByName(self._near(more)), "line-links")
+        return first if self.crowd.isEmpty() else scratch.materialize(self._outside(met, first), "line-links")
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
@@ -285,13 +358,13 @@ class LineDedup:
         found = found.filter(F.abs(size("a") - size("b")) <= F.col("most"))
         # The longer one first.
         swap = size("a") < size("b")
-        found = found.select("a", "b", "most", by_words.alias("by_words"), F.when(swap, F.col("b_line")).otherwise(F.col("a_line")).alias("x"), F.when(swap, F.col("a_line")).otherwise(F.col("b_line")).alias("y"))
-        cut = scratch.materialize(found.filter("NOT by_words").select("a", "b", "most", trimmed(F.col("x"), F.col("y")).alias("t")), "line-trimmed")
-        near = cut.filter(banded_distance(chars(F.col("t.x")), chars(F.col("t.y")), self.k) <= F.col("most")).select("a", "b")
-        sentences = found.filter("by_words").select("a", "b", "most", words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
-        for one, other in (("x", "y"), ("y", "x")):
-            sentences = sentences.filter(F.size(F.array_except(one, other)) <= F.col("most"))
-        return near.unionByName(sentences.filter(banded_distance(F.col("x"), F.col("y"), self.k) <= F.col("most")).select("a", "b"))
+        x, y = (F.when(swap, F.col(f"{one}_line")).otherwise(F.col(f"{other}_line")) for one, other in ("ba", "ab"))
+        of = lambda cut, x, y: F.struct(cut(x).alias("x"), cut(y).alias("y"))
+        symbols = F.when(by_words, of(words, x, y)).otherwise(let(trimmed(x, y), lambda t: of(chars, t["x"], t["y"])))
+        # Symbols that only one line has are counted first.
+        only = lambda one, other: F.size(F.array_except(one, other)) <= F.col("most")
+        near = lambda t: only(t["x"], t["y"]) & only(t["y"], t["x"]) & (banded_distance(t["x"], t["y"], self.k) <= F.col("most"))
+        return found.filter(let(symbols, near)).select("a", "b")
 
     def _classes(self) -> DataFrame:
         """(id, doc, place, class, kept): the class of each different line."""

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from facetql.llm import exact_dedup, line_dedup, ngram_join, queries, words
+from facetql.llm import exact_dedup, line_dedup, ngram_join, queries, scratch, words
 from facetql.llm.components import connected_components
 
 from .util import Components, docs_of, duck
@@ -276,6 +276,41 @@ def test_lines_same_as_brute_force(spark, hot):
     assert len(rows) == len(texts) and rows[43]["n_lines"] == 3 and rows[43]["n_kept"] == 2 and rows[44]["n_kept"] == 0 and rows[40]["n_lines"] == 0
 
 
+@pytest.mark.parametrize("hot", [8, 2])
+def test_crowded_lines_same_as_brute_force(spark, hot):
+    rnd = random.Random(hot)
+    lines = []
+    for size in (12, 22, 40):
+        base = [f"w{i}" for i in range(size)]
+        for version in (base, [*base[:-3], "x1", "x2", "x3"], ["a"] * size, ["a", "b"] * (size // 2)):
+            for _ in range(14):
+                own = list(version)
+                for _ in range(rnd.randint(0, 4)):
+                    at = rnd.randrange(size // 3, len(own) - 1)
+                    own[at : at + rnd.randint(0, 2)] = rnd.choice([[], ["t1"], ["t2", own[at]], [own[at + 1], own[at]], [f"n{rnd.randrange(30)}"]])
+                lines.append(" ".join(own))
+    lines += [f"Order {rnd.randrange(1000)} was sent {rnd.randrange(100)}" for _ in range(40)]
+    rnd.shuffle(lines)
+    own = line_dedup.LineDedup(docs_of(spark, lines), k=2, hot=hot)
+    assert {(r["doc_id"], p) for r in own.counts().collect() for p in r["kept_lines"]} == kept_places(lines)[0]
+
+
+def test_candidates_of_a_template_grow_with_its_lines(spark, monkeypatch):
+    rnd, met, write = random.Random(1), [], scratch.materialize
+
+    def counted(df, name):
+        found = write(df, name)
+        met.extend([found.count()] if name == "line-pairs" else [])
+        return found
+
+    monkeypatch.setattr(scratch, "materialize", counted)
+    number = lambda: rnd.randrange(10**6)
+    texts = [f"Order {number()} of {number()} was shipped to the customer in the town {number()} on a day of this month and paid" for _ in range(300)]
+    rows = line_dedup.LineDedup(docs_of(spark, texts)).counts().collect()
+    assert sum(r["n_kept"] for r in rows) == len(kept_places(texts)[0])
+    assert sum(met) < 10 * len(texts)
+
+
 def test_blank_lines_stay(spark):
     texts = ["first\n\nsecond", "\t\nfirst\n \n", "third\n\nthird\nfirst"]
     got = {r["doc_id"]: r["text"] for r in line_dedup.LineDedup(docs_of(spark, texts)).texts().collect()}
