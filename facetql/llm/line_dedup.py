@@ -253,22 +253,33 @@ class LineDedup:
         met = probe.join(calm.unionByName(pivots), "key").filter(F.col("hot") | (F.col("a") != F.col("b")))
         return scratch.materialize(met.select("a", "b", F.when(F.col("hot"), F.col("key")).alias("key")), "line-met")
 
-    def _labelled(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+    def _labelled(self, rows: DataFrame, linked: DataFrame) -> DataFrame:
         """The rows (key, id, ...) of keys whose lines are in several components, with their component and the key's main one."""
-        linked = scratch.sized(scratch.materialize(connected_components(links), "line-components").withColumnRenamed("node", "id"))
-        rows = rows.join(linked, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        rows = rows.join(scratch.sized(linked.withColumnRenamed("node", "id")), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         rows = scratch.materialize(rows, "line-named")
         counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
         main = counts.groupBy("key").agg(F.expr("max_by(label, held)").alias("main"), F.count(F.lit(1)).alias("labels"))
         return rows.join(scratch.sized(scratch.materialize(main.filter("labels > 1").drop("labels"), "line-main")), "key")
 
-    def _finer(self, met: DataFrame, links: DataFrame) -> DataFrame:
+    def _merged(self, linked: DataFrame, links: DataFrame) -> DataFrame:
+        """The components (node, component) when the links count too: those of components are few."""
+        if links.isEmpty():
+            return linked
+        for side in "ab":
+            own = scratch.sized(linked.select(F.col("node").alias(side), "component"))
+            links = links.join(own, side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+        more = scratch.materialize(connected_components(links), "line-components")
+        least = scratch.sized(more.select(F.col("node").alias("component"), F.col("component").alias("least")))
+        old = linked.join(least, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        return scratch.materialize(old.unionByName(more.join(scratch.sized(linked.select("node")), "node", "left_anti")), "line-components")
+
+    def _finer(self, met: DataFrame, linked: DataFrame, lines: DataFrame) -> DataFrame:
         """(key, id, label, held, chose) by finer keys; held: the line has the hot key itself; chose: an outsider that goes by this key."""
         held = self.crowd.withColumn("held", F.lit(True))
         rows = met.filter("key is not null").select("key", F.col("a").alias("id")).distinct().join(held, ["key", "id"], "left")
-        rows = scratch.materialize(self._labelled(rows.withColumn("held", F.col("held").isNotNull()), links), "line-outside")
+        rows = scratch.materialize(self._labelled(rows.withColumn("held", F.col("held").isNotNull()), linked), "line-outside")
         pivots = self.pivots.join(scratch.sized(rows.select("key").distinct()), "key", "left_semi")
-        runs = self._runs(rows.select("id").unionByName(pivots.select(F.col("b").alias("id"))))
+        runs = self._runs(lines)
         kinds = ("w1", "w2", "c2")
         usual = pivots.join(runs, F.col("b") == F.col("id")).groupBy("key")
         usual = usual.agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(f"usual_{c}") for c in kinds])
@@ -286,24 +297,27 @@ class LineDedup:
         rows = rows.select("id", "label", "held", F.explode(F.concat(told("ones", F.col("single")), told("twos", ~F.col("single")))).alias("t"))
         return scratch.materialize(rows.select("t.key", "id", "label", "held", "t.chose"), "line-finer")
 
-    def _outside(self, met: DataFrame, links: DataFrame) -> DataFrame:
-        """Links of lines of a hot key that are in different components."""
-        rows = self._finer(met, links)
+    def _outside(self, met: DataFrame, linked: DataFrame) -> DataFrame:
+        """The components (node, component) when lines of a hot key that are in different ones have met."""
+        # Lines of hot keys are read from all lines once.
+        lines = self._texts(met.filter("key is not null").select(F.col("a").alias("id")), "line", "docs", "n_words", "head", "codes")
+        lines = scratch.materialize(lines, "line-crowded")
+        rows = self._finer(met, linked, lines)
         own = F.struct("id", "label")
-        held = rows.join(scratch.sized(self._texts(rows.select("id"), "docs")), "id").groupBy("key").agg(
+        held = rows.join(scratch.sized(lines.select("id", "docs")), "id").groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), F.max("chose").alias("chose"), F.max_by(own, F.col("docs")).alias("p1"), F.min(own).alias("p2"), F.max(own).alias("p3")
         )
         # A key of one line, or that no outsider goes by, tells nothing.
         held = scratch.materialize(held.filter("n > 1 and chose").drop("chose"), "line-finer-keys")
         rows = scratch.materialize(rows.join(scratch.sized(held.select("key")), "key", "left_semi"), "line-finer")
         if rows.isEmpty():
-            return links
+            return linked
         pivots = held.filter(F.col("n") > self.hot).select("key", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b"))
         starred = rows.join(scratch.sized(pivots), "key").filter(F.col("label") != F.col("b.label"))
-        links = links.unionByName(scratch.materialize(self._near(starred.select(F.col("id").alias("a"), F.col("b.id").alias("b"))), "line-links"))
-        rows = rows.drop("label")
-        rows = self._labelled(rows, links)
-        rows = scratch.materialize(rows.join(self._counted(rows.select("id")), "id"), "line-outside")
+        links = scratch.materialize(self._near(starred.select(F.col("id").alias("a"), F.col("b.id").alias("b")), lines), "line-links")
+        linked = self._merged(linked, links)
+        rows = self._labelled(rows.drop("label"), linked)
+        rows = scratch.materialize(rows.join(self._counted(lines), "id"), "line-outside")
         found = None
         chose = rows.filter("chose")
         for one, other in ((chose.filter("label <> main"), rows), (chose.filter("label = main"), rows.filter("label <> main"))):
@@ -315,14 +329,13 @@ class LineDedup:
                 on = on & (F.coalesce(gap, F.lit(0)) <= 2 * self.k)
             pairs = p.join(x, on).select(F.col("p.id").alias("a"), F.col("x.id").alias("b"))
             found = pairs if found is None else found.unionByName(pairs)
-        return links.unionByName(self._near(found))
+        return self._merged(linked, scratch.materialize(self._near(found, lines), "line-links"))
 
-    def _runs(self, ids: DataFrame) -> DataFrame:
+    def _runs(self, lines: DataFrame) -> DataFrame:
         """(id, most_w, w1, w2, most_c, c2): the most edits of words and of characters, the different words, pairs of words and of characters."""
-        rows = self._texts(ids, "head", "codes", "n_words")
         most = lambda n: F.least(F.lit(self.k), F.floor(n / PER_EDIT)).cast("int")
         single = F.array_distinct(F.transform("codes", lambda c: c.cast("long")))
-        rows = rows.select(
+        rows = lines.select(
             "id", most(F.col("n_words")).alias("most_w"), single.alias("w1"), pairs_of(F.col("codes")).alias("w2"), most(F.length("head")).alias("most_c"), pairs_of(chars(F.col("head"))).alias("c2")
         )
         return scratch.materialize(rows, "line-runs")
@@ -332,24 +345,26 @@ class LineDedup:
         wanted = scratch.sized(scratch.materialize(ids.distinct(), "line-ids"))
         return self.lines.select("id", *columns).join(wanted, "id", "left_semi")
 
-    def _counted(self, ids: DataFrame) -> DataFrame:
+    def _counted(self, lines: DataFrame) -> DataFrame:
         """(id, w1, w2, c1, c2): packed counts of words and characters, null where a line isn't compared by them alone."""
-        rows = self._texts(ids, "head", "codes", "n_words")
         by_words = F.col("n_words") >= self.min_words + self.k
         both = [F.when(by_words, c) for c in code_counts(F.col("codes"))] + [F.when(F.col("n_words") < self.min_words, c) for c in char_counts(F.col("head"))]
-        return scratch.materialize(rows.select("id", *[c.alias(name) for c, name in zip(both, ("w1", "w2", "c1", "c2"))]), "line-counts")
+        return scratch.materialize(lines.select("id", *[c.alias(name) for c, name in zip(both, ("w1", "w2", "c1", "c2"))]), "line-counts")
 
-    def links(self) -> DataFrame:
-        """Verified pairs (a, b), enough of them to connect whatever links."""
+    def _linked(self) -> DataFrame:
+        """(node, component) of the lines that link with any."""
         met = self._met()
-        first = scratch.materialize(self._near(met.filter("a <> b").select("a", "b")), "line-links")
-        return first if self.crowd.isEmpty() else scratch.materialize(self._outside(met, first), "line-links")
+        links = scratch.materialize(self._near(met.filter("a <> b").select("a", "b"), self.lines), "line-links")
+        linked = scratch.materialize(connected_components(links), "line-components")
+        return linked if self.crowd.isEmpty() else self._outside(met, linked)
 
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+    def _near(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link; their lines are among ``lines``."""
         pairs = scratch.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-        texts = scratch.materialize(self._texts(ids, "line", "n_words"), "line-texts")
+        texts = lines.select("id", "line", "n_words")
+        if lines is self.lines:
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+            texts = scratch.materialize(self._texts(ids, "line", "n_words"), "line-texts")
         sides = [texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab"]
         found = pairs.join(sides[0], F.col("a") == F.col("a_id")).join(sides[1], F.col("b") == F.col("b_id"))
         by_words = F.least("a_n_words", "b_n_words") >= self.min_words
@@ -368,7 +383,7 @@ class LineDedup:
 
     def _classes(self) -> DataFrame:
         """(id, doc, place, class, kept): the class of each different line."""
-        linked = connected_components(self.links())
+        linked = self._linked()
         rows = self.lines.select("id", "doc", "place").join(scratch.sized(linked), self.lines["id"] == linked["node"], "left")
         rows = scratch.materialize(rows.withColumn("class", F.coalesce("component", "id")).drop("node", "component"), "line-classes")
         groups = rows.join(scratch.sized(linked.select(F.col("component").alias("class")).distinct()), "class", "left_semi")
